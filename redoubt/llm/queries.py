@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, simhash, token_shards
+from . import decontaminate, licenses, line_dedup, mixing, simhash, token_shards, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_source_mix": mixing.op2_source_mix,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op10_license_digests": licenses.op10_license_digests,
     "op8_token_shards": token_shards.op8_token_shards,
 }
 
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_source_mix": mixing.SQL,
+    "op10_license_digests": licenses.SQL,
 }
