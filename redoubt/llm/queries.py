@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, mixing, simhash, token_shards, toxicity
+from . import decontaminate, licenses, line_dedup, mixing, secrets, simhash, token_shards, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op9_secrets": secrets.op9_secrets,
     "op10_license_digests": licenses.op10_license_digests,
     "op8_token_shards": token_shards.op8_token_shards,
 }
