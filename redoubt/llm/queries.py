@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, mixing, secrets, simhash, token_shards, toxicity
+from . import decontaminate, html_extract, licenses, line_dedup, mixing, secrets, simhash, token_shards, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_source_mix": mixing.op2_source_mix,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_html_extraction": html_extract.op5_html_extraction,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_secrets": secrets.op9_secrets,
     "op10_license_digests": licenses.op10_license_digests,
