@@ -15,6 +15,10 @@ spanning forest of its links, never its pairs.  A bucket of more than
 ``BUCKET`` fingerprints is cut into chunks and each pair of chunks is a bucket
 of its own, so near copies that share all blocks spread over many tasks.
 
+With ``takes`` above 1 the shingles give that many independent fingerprints and
+two documents are linked if any pair of theirs is: copies that differ by more
+words than one fingerprint can tell are then found with far better odds.
+
 Definitions: null and empty texts have fingerprint zero, linked like any other.
 A row without ``doc_id`` takes part; it never names a component that holds
 another row.  Rows that repeat a ``doc_id`` are all returned.
@@ -50,26 +54,41 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[a:z], seed) for a, z in zip(starts, (ends[words - 1 :] - 1).tolist())], dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
-    hashes = shingle_hashes(text or b"", words, seed)
+def remixed(hashes: np.ndarray, take: int) -> np.ndarray:
+    """The shingle hashes of the ``take``-th fingerprint: the hashes themselves, then bijective mixes of them."""
+    if not take:
+        return hashes
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * take & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED, take: int = 0, hashes: np.ndarray | None = None) -> int:
+    hashes = shingle_hashes(text or b"", words, seed) if hashes is None else hashes
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
-        some = hashes[at : at + 65536]
+        some = remixed(hashes[at : at + 65536], take)
         ones += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(words: int, seed: int):
+def _fingerprints(words: int, seed: int, takes: int):
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, words, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(text or b"", words, seed)
+                found.append([fingerprint(None, take=i, hashes=hashes) for i in range(takes)])
+            fps = np.array(found, dtype=np.uint64).reshape(-1, takes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1:].tolist(), pa.list_(pa.int64()))], names=["doc_id", "fp", "more"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(words, seed), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, takes: int = 1) -> DataFrame:
+    """``(doc_id, fp, more)``: the fingerprint, and ``takes - 1`` independent others of the same shingles."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(words, seed, takes), "doc_id long, fp long, more array<long>")
 
 
 def tables_for(distinct: int, radius: int) -> list[int]:
@@ -184,14 +203,23 @@ def links(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray,
     return fps[np.array(left, dtype=int)], fps[np.array(right, dtype=int)]
 
 
-def _buckets(radius: int):
+def _buckets(radius: int, tables: int):
     """Batches sorted by (table, key, part) to links; a bucket may span batches."""
 
     def done(cols):
         key = np.stack(cols[:3], axis=1)
         starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1])
         u, v = links(cols[3].view(np.uint64), starts, radius)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+        return u, v
+
+    def batch_of(take, pair):
+        u, v = (x.view(np.int64) for x in pair)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), take, dtype=np.int32)), pa.array(u), pa.array(v)], names=["take", "u", "v"])
+
+    def by_take(cols):
+        take = cols[0] // tables
+        for t in np.unique(take).tolist():
+            yield batch_of(t, done([c[take == t] for c in cols]))
 
     def run(batches):
         held = None
@@ -204,19 +232,21 @@ def _buckets(radius: int):
             same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
             cut = len(same) - int(same.sum())
             if cut >= 16384:
-                yield done([c[:cut] for c in cols])
+                yield from by_take([c[:cut] for c in cols])
                 cols = [c[cut:] for c in cols]
             held = cols
         if held is not None:
-            yield done(held)
+            yield from by_take(held)
 
     return run
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
-    """``(u, v)``: links among the distinct fingerprints ``fp`` that span every component of those within ``radius``."""
-    masks = tables_for(distinct.count(), radius)
-    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for i, m in enumerate(masks)]))
+    """``(take, u, v)``: for each ``take`` of the distinct ``(take, fp)``, links that
+    span every component of its fingerprints within ``radius``."""
+    per_take = distinct.groupBy("take").count().agg(F.max("count")).first()[0] or 0
+    masks = tables_for(per_take, radius)
+    entry = F.explode(F.array(*[F.struct((F.col("take") * len(masks) + i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for i, m in enumerate(masks)]))
     rows = distinct.select("fp", entry.alias("e")).select("e.tab", "e.key", "fp")
     counts = rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
     # Chunks of a large bucket meet two by two; a small bucket is one part.
@@ -227,27 +257,38 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, most: int = BUCKET) ->
     dealt = rows.join(counts, ["tab", "key"]).select("tab", "key", F.explode(parts).alias("part"), "fp")
     order = ["tab", "key", "part"]
     dealt = dealt.repartition(common.partitions(distinct.sparkSession), *order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(_buckets(radius), "u long, v long")
+    return dealt.mapInArrow(_buckets(radius, len(masks)), "take int, u long, v long")
 
 
-def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fps(doc_id, fp)`` with ``component_id``, the smallest ``doc_id`` reachable over links."""
+def components(fps: DataFrame, radius: int = RADIUS, takes: int = 1) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row of ``fps``; ``component_id`` is
+    the smallest ``doc_id`` reachable over links of any take."""
     distinct = common.checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = common.connected_components(near_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    if takes == 1:
+        edges = near_links(distinct.select(F.lit(0).alias("take"), "fp"), radius).select("u", "v")
+    else:
+        # Every take names a row's first fingerprint; its own value links the rows that share it or come near.
+        every = F.explode(F.transform(F.concat(F.array("fp"), "more"), lambda x, i: F.struct(i.cast("int").alias("take"), x.alias("f"))))
+        named = common.checkpoint(fps.select("fp", every.alias("e")).select("e.take", F.col("e.f").alias("f"), "fp").distinct())
+        first = named.groupBy("take", "f").agg(F.min("fp").alias("name"))
+        near = near_links(first.select("take", F.col("f").alias("fp")), radius)
+        ends = near.join(first.select("take", F.col("f").alias("u"), F.col("name").alias("a")), ["take", "u"]).join(first.select("take", F.col("f").alias("v"), F.col("name").alias("b")), ["take", "v"])
+        edges = ends.select(F.col("a").alias("u"), F.col("b").alias("v")).union(named.join(first, ["take", "f"]).where("fp <> name").select("fp", "name"))
+    roots = common.connected_components(edges).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(of_root, "root").select("fp", "component_id"), "fp")
+    return fps.select("doc_id", "fp").join(rooted.join(of_root, "root").select("fp", "component_id"), "fp")
 
 
-def near_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+def near_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED, takes: int = 1) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``."""
-    return components(common.checkpoint(fingerprints(docs, words, seed)), radius)
+    return components(common.checkpoint(fingerprints(docs, words, seed, takes)), radius, takes)
 
 
-def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, takes: int = 1) -> DataFrame:
     """The rows of each component's smallest ``doc_id``, without repeats of a
     row's text under one ``doc_id``.  Rows without ``doc_id`` all stay."""
-    found = near_components(docs, words, radius)
+    found = near_components(docs, words, radius, takes=takes)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
     packed = docs.select("doc_id", F.xxhash64("text").alias("of_text"), F.struct("*").alias("row"))
     kept = packed.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi")

@@ -28,6 +28,8 @@ read by scanning and are not in the index.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -35,7 +37,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import re
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +44,14 @@ from pyspark.sql import functions as F
 from . import common
 
 END_ID = 2
-SHARD_IDS = 16 << 20  # a shard is closed at the first document that reaches this many ids
-CACHED_PIECES = 300_000
+SHARD_IDS = 8 << 20  # a shard is closed at the first document that reaches this many ids
+CACHED_PIECES = 600_000
 _MAGIC = b"RDMPH1\x00\x00"
 _HEAD = struct.Struct("<8sIIQQ")  # magic, id bytes, buckets, slots, ids
 _SLOT = np.dtype([("print", "<u4"), ("records", "<u4"), ("offset", "<u8"), ("length", "<u8")])
 _MANIFEST = "part int, shard int, name string, width int, n_docs long, n_ids long"
-_DOUBLE = re.compile(r"\s\s|^\s|\s$")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_MARK = "\x00"
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 # ---- encoding
@@ -59,13 +60,15 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A byte-level BPE splits a text before every single space between two
-    non-spaces, so such pieces are encoded on their own, each distinct one once
-    while it stays in a bounded cache.  Texts that hold a special token, and those
-    of tokenizers of another make, are encoded whole.
+    A byte-level BPE splits a text before every space, and on both sides of
+    every line feed, that stands between two characters that aren't white
+    space.  Such pieces are encoded on their own, each distinct one once while
+    it stays in a bounded cache.  Texts that hold a special token, and those of
+    tokenizers of another make, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path) as f:
@@ -81,28 +84,40 @@ class Encoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _whole(self, text: str) -> bool:
-        return not self.by_piece or "\x00" in text or any(s in text for s in self.special)
+    def pieces(self, text: str) -> list[str] | None:
+        """The pieces of ``text``, or None if it must be encoded whole."""
+        if not self.by_piece or _MARK in text or any(s in text for s in self.special):
+            return None
+        if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # all white space is single spaces and line feeds inside
+            return text.replace("\n", _MARK + "\n" + _MARK).replace(" ", _MARK + " ").split(_MARK)
+        return _CUT.sub(_MARK, text).split(_MARK)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as raw bytes."""
-        whole = [self._whole(t) for t in texts]
-        slow = iter(self._bytes([t for t, w in zip(texts, whole) if w]))
         if len(self.cache) > CACHED_PIECES:
             self.cache.clear()
-        cache, split = self.cache, []
-        missing: set[str] = set()
-        for t, w in zip(texts, whole):
-            pieces = None
-            if not w:
-                # Pieces but the first carry their space; the first is marked as such.
-                pieces = _CUT.split(t) if _DOUBLE.search(t) else t.split(" ")
-                pieces[0] = "\x00" + pieces[0]
-                missing.update(p for p in pieces if p not in cache)
-            split.append(pieces)
-        new = list(missing)
-        cache.update(zip(new, self._bytes([p[1:] if p[:1] == "\x00" else " " + p for p in new])))
-        return [(next(slow) if p is None else b"".join(map(cache.__getitem__, p))) + self.end for p in split]
+        split = [self.pieces(t) for t in texts]
+        slow = iter(self._bytes([t for t, p in zip(texts, split) if p is None]))
+        seen: set[str] = set()
+        for p in split:
+            if p:
+                seen.update(p)
+        new = list(seen.difference(self.cache))
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            self.cache.update(zip(some, self._bytes(some)))
+        return [(next(slow) if p is None else b"".join(map(self.cache.__getitem__, p))) + self.end for p in split]
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """This process's encoder, so that tasks that share a worker share its cache."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 # ---- index
@@ -190,8 +205,8 @@ def _writer(path: str, folder: str, end_id: int, shard_ids: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = Encoder(path, end_id)
-        width = encoder.dtype.itemsize
+        coder = encoder(path, end_id)
+        width = coder.dtype.itemsize
         keys, lengths, chunks, size, shard = [], [], [], 0, 0
 
         def close():
@@ -220,7 +235,7 @@ def _writer(path: str, folder: str, end_id: int, shard_ids: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                for key, raw in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in some.column(1).to_pylist()])):
+                for key, raw in zip(some.column(0).to_pylist(), coder.encode([t or "" for t in some.column(1).to_pylist()])):
                     keys.append(key)
                     lengths.append(len(raw) // width)
                     chunks.append(raw)

@@ -127,7 +127,7 @@ def test_links_span_what_brute_force_links(spark, monkeypatch):
     want = components_by_hand(fps, 4)
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(sorted(fps))], "doc_id long, fp long")
     for most in (4096, 256):
-        roots = common.connected_components(simhash.near_links(df.select("fp"), 4, most))
+        roots = common.connected_components(simhash.near_links(df.selectExpr("0 as take", "fp"), 4, most).select("u", "v"))
         got = {r.node & (1 << 64) - 1: r.root for r in roots.collect()}
         groups = {}
         for f in fps:
@@ -156,6 +156,21 @@ def test_simhash_components(spark):
     assert simhash.near_components(docs(spark, [])).count() == 0 and simhash.dedup(docs(spark, [])).count() == 0
 
 
+def test_more_takes_link_worse_copies(spark):
+    some = random.Random(9)
+    rows = []
+    for i in range(60):
+        words = [f"w{some.randrange(5000)}" for _ in range(300)]
+        rows.append((i, " ".join(words), "a"))
+        for at in (50, 150, 250):  # three changed words: similarity 0.9 of five-word shingles
+            words[at] = "changed"
+        rows.append((1000 + i, " ".join(words), "b"))
+    one, many = (simhash.near_components(docs(spark, rows), 5, 4, takes=t).where("doc_id <> component_id").collect() for t in (1, 12))
+    assert all(r.doc_id == r.component_id + 1000 for r in [*one, *many])
+    assert len(one) < len(many) and len(many) >= 45
+    assert simhash.near_components(docs(spark, []), takes=3).count() == 0
+
+
 SPACING = ["a  b", " lead", "trail ", "x\n\ny z", "tab\t tab", "nb sp  x", "<|endoftext|> stop <|endoftext|>", "it's John's  'quoted'", "\x00 nul \x00x", "12 345,67 \n 8", "日本語 テキスト", "a 　 b", "é   x", "\x1c a\x1cb \x85 c"]
 
 
