@@ -270,7 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     seeds = dict.fromkeys(INSULTS.split(), 2.0)
     if not n_toxic or not n_clean:
-        return Model(seeds, {}, [2.0, 2.0, 0.5, 0.5, 2.0, -2.5])
+        return Model(seeds, {}, [3.0, 3.0, 0.5, 0.5, 5.0, -2.5])
     counts = rows.where("toxic in (0, 1)").mapInArrow(_beginnings, "feature string, toxic int, docs long").groupBy("feature").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("docs")).otherwise(0)).alias("b")
     )
