@@ -392,7 +392,7 @@ def checksum_validators(spark, sf_dir):
 
 
 @query("""
-SELECT lang, source, quality, count(*) AS docs, sum(n_chars) AS chars, count(*) FILTER (WHERE toxic = 1) AS toxic
+SELECT lang, source, quality, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (WHERE toxic = 1) AS toxic
 FROM documents JOIN labels USING (doc_id) GROUP BY CUBE (lang, source, quality)""")
 def risk_report(spark, sf_dir):
     met = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(_table(spark, sf_dir, "labels"), "doc_id")
