@@ -33,6 +33,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,15 @@ from . import common
 
 END_ID = 2
 SHARD_IDS = 8 << 20  # a shard is closed at the first document that reaches this many ids
-CACHED_PIECES = 600_000
+CACHED_PIECES = 1_200_000
 _MAGIC = b"RDMPH1\x00\x00"
 _HEAD = struct.Struct("<8sIIQQ")  # magic, id bytes, buckets, slots, ids
 _SLOT = np.dtype([("print", "<u4"), ("records", "<u4"), ("offset", "<u8"), ("length", "<u8")])
 _MANIFEST = "part int, shard int, name string, width int, n_docs long, n_ids long"
 _MARK = "\x00"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_LOOSE_POINT = re.compile(r"(?:^|[\W_])[.,]")
 
 
 # ---- encoding
@@ -60,11 +63,14 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A byte-level BPE splits a text before every space, and on both sides of
-    every line feed, that stands between two characters that aren't white
+    A byte-level BPE splits a text before every space, on both sides of every
+    line feed, and before every full stop and comma after a letter or digit, as
+    long as a space or line feed stands between two characters that aren't white
     space.  Such pieces are encoded on their own, each distinct one once while
-    it stays in a bounded cache.  Texts that hold a special token, and those of
-    tokenizers of another make, are encoded whole.
+    it stays in a bounded cache.  A piece of Latin letters alone is one word to
+    the library's splitter, so it goes to a copy of the tokenizer without one,
+    spelled in the model's byte alphabet.  Texts that hold a special token, and
+    those of tokenizers of another make, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -74,24 +80,44 @@ class Encoder:
         with open(path) as f:
             made = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         pre = made.get("pre_tokenizer") or {}
         self.by_piece = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and made["model"]["type"] == "BPE"
+        if self.by_piece:
+            self.words = Tokenizer.from_str(json.dumps(made | {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
         self.special = [t["content"] for t in made.get("added_tokens", [])]
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
         self.cache: dict[str, bytes] = {}
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _bytes(self, texts: list[str], words: bool = False) -> list[bytes]:
+        code = self.code
+        return [array(code, e.ids).tobytes() for e in (self.words if words else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str] | None:
         """The pieces of ``text``, or None if it must be encoded whole."""
         if not self.by_piece or _MARK in text or any(s in text for s in self.special):
             return None
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # all white space is single spaces and line feeds inside
+        # One class a byte tells, without a loop over characters, whether the plain cuts hold.
+        kinds = text.encode().translate(_KINDS)
+        latin = b"z" not in kinds
+        points = not (b"xp" in kinds or b"pp" in kinds or b"sp" in kinds or kinds[:1] == b"p") if latin else not _LOOSE_POINT.search(text)
+        if points:
+            text = text.replace(".", _MARK + ".").replace(",", _MARK + ",")
+        if latin and not (b"w" in kinds or b"ss" in kinds or kinds[:1] == b"s" or kinds[-1:] == b"s"):
             return text.replace("\n", _MARK + "\n" + _MARK).replace(" ", _MARK + " ").split(_MARK)
         return _CUT.sub(_MARK, text).split(_MARK)
 
+    def _learn(self, new: list[str]) -> None:
+        words, other = [], []
+        for p in new:
+            (words if _WORD.fullmatch(p) else other).append(p)
+        for group, plain in ((words, True), (other, False)):
+            for at in range(0, len(group), 4096):
+                some = group[at : at + 4096]
+                spelled = [p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in some] if plain else some
+                self.cache.update(zip(some, self._bytes(spelled, plain)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as raw bytes."""
         if len(self.cache) > CACHED_PIECES:
@@ -102,13 +128,25 @@ class Encoder:
         for p in split:
             if p:
                 seen.update(p)
-        new = list(seen.difference(self.cache))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            self.cache.update(zip(some, self._bytes(some)))
+        self._learn(list(seen.difference(self.cache)))
         return [(next(slow) if p is None else b"".join(map(self.cache.__getitem__, p))) + self.end for p in split]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte alphabet of byte-level models: printable bytes as themselves, others from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+# Classes of UTF-8 bytes: a letter or digit of ASCII or part of a Latin letter, p point or comma,
+# s space or line feed, w other white space, z beyond Latin, x anything else.
+_KINDS = bytes(
+    ord("s" if b in b" \n" else "w" if b in b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f" else "p" if b in b".," else "a" if bytes([b]).isalnum() or b == 0xC3 or 0x80 <= b < 0xC0 and b not in (0x97, 0xB7) else "z" if b >= 0x80 else "x")
+    for b in range(256)
+)
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
