@@ -156,6 +156,11 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
 
 
+def utf16_offset(text: Column, offset: Column) -> Column:
+    """An offset in code points as one in UTF-16 units, for systems that count those."""
+    return offset + F.regexp_count(F.substring(text, F.lit(1), offset), F.lit("[\\x{10000}-\\x{10FFFF}]"))
+
+
 def window_around(text: Column, start: Column, end: Column, size: int = 48) -> Column:
     before = F.substring(text, F.greatest(start - size, F.lit(0)) + 1, F.least(start, F.lit(size)))
     return F.regexp_replace(F.lower(F.concat(before, F.lit(" "), F.substring(text, end + 1, F.lit(size)))), "[_-]+", " ")

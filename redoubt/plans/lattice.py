@@ -80,6 +80,10 @@ def dominated_by(policy: Policy, a: Assertion, b: Assertion) -> bool:
     return True
 
 
+def equal(policy: Policy, a: Assertion, b: Assertion) -> bool:
+    return dominated_by(policy, a, b) and dominated_by(policy, b, a)
+
+
 def prune(policy: Policy, assertion: Assertion) -> tuple[Assertion, list[str]]:
     level, marks = assertion
     rank = policy.level(level).rank

@@ -504,6 +504,29 @@ def pdf_redacted(spark, sf_dir):
     return PDF.parse(out.select("doc_id", "content")).select("doc_id", "node_id", "kind", "text")
 
 
+@query()
+def pdf_images(spark, sf_dir):
+    """The images of a scanned file and of one that isn't a PDF."""
+    scan = PDF.image_pdf([{"width": 2, "height": 1, "rgb": bytes(range(6))}, {"width": 2, "height": 2, "jpeg": b"\xff\xd8x"}])
+    files = spark.createDataFrame([("scan", bytearray(scan)), ("text", bytearray(b"no file"))], "doc_id string, content binary")
+    return PDF.extract_images(files).select("doc_id", "number", "page", "width", "height", "filter", F.length("data").alias("size"), "error")
+
+
+@query("""
+SELECT lang, source, approx AS doc_kinds, docs FROM (
+  SELECT lang, source, count(*) AS docs, count(DISTINCT n_chars) AS approx FROM documents GROUP BY ROLLUP (lang, source))""")
+def length_report(spark, sf_dir):
+    """Documents and distinct lengths by language and source, with subtotals."""
+    rolled = _table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count_distinct("n_chars").alias("doc_kinds"), F.count("*").alias("docs"))
+    return rolled.select("lang", "source", "doc_kinds", "docs")
+
+
+@query("SELECT doc_id, length(text) + length(regexp_replace(text, '[^' || chr(65536) || '-' || chr(1114111) || ']', '', 'g')) AS utf16 FROM documents WHERE text IS NOT NULL")
+def utf16_lengths(spark, sf_dir):
+    docs = _docs(spark, sf_dir).where("text is not null")
+    return docs.select("doc_id", C.utf16_offset(F.col("text"), F.length("text")).cast("long").alias("utf16"))
+
+
 def _png(spark) -> DataFrame:
     import struct
     import zlib

@@ -580,6 +580,24 @@ def images(raw: bytes) -> list[dict]:
     return out
 
 
+def extract_images(files: DataFrame) -> DataFrame:
+    """``(doc_id, number, page, width, height, filter, data, is_page, error)``: the images of ``files(doc_id, content)``, one row each."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    out += [(doc, i["number"], i["page"], i["width"], i["height"], i["filter"], i["data"], looks_like_a_page(i["width"] or 0, i["height"] or 1), None) for i in images(raw or b"")]
+                except (RedactionError, ValueError, RecursionError) as e:
+                    out.append((doc, None, None, None, None, None, None, None, str(e)))
+            kinds = [("doc_id", pa.string()), *((n, pa.int32()) for n in ("number", "page", "width", "height")), ("filter", pa.string()), ("data", pa.binary()), ("is_page", pa.bool_()), ("error", pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+    schema = "doc_id string, number int, page int, width int, height int, filter string, data binary, is_page boolean, error string"
+    return files.select("doc_id", "content").mapInArrow(run, schema)
+
+
 def looks_like_a_page(width: int, height: int) -> bool:
     return width * height >= 1_000_000 and 0.4 <= width / height <= 2
 

@@ -64,6 +64,11 @@ def test_hashes_and_text_columns(spark):
     assert (row.retain, row.search, row.words, row.all) == ("a b c d", "ab c", 2, 3)
 
 
+def test_utf16_offsets(spark):
+    row = spark.createDataFrame([("a😀b😀",)], "t string").select(*[columns.utf16_offset(F.col("t"), F.lit(i)).alias(f"o{i}") for i in range(5)]).first()
+    assert tuple(row) == (0, 1, 3, 4, 6)
+
+
 def test_rectangles(spark):
     box = lambda *v: columns.rect(*[F.lit(float(x)) for x in v])
     a, b = box(0, 0, 4, 4), box(2, 3, 4, 4)
