@@ -214,44 +214,44 @@ def _ends(batches):
 
 
 def _difference(near: dict):
-    """``(page_key, gone)``: the loose lines that a neighbour shares, for pages that have any."""
+    """``(page_key, shared, gone)``: how many lines a neighbour shares, and the loose ones among them, for pages that share any."""
 
     def run(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
         before, after = near.get((pid, "before")), near.get((pid, "after"))
-        keys, gone = [], []
+        keys, counts, gone = [], [], []
 
         def emit(row, shared):
-            lost = sorted(shared & set(row[3]))
-            if lost:
+            if shared:
                 keys.append(row[0])
-                gone.append(lost)
+                counts.append(len(shared))
+                gone.append(sorted(shared & set(row[3])))
 
         held, with_before = None, set()
         for row in (r for rows in (_pages(batches), [after] if after else []) for r in rows):
             previous = held if held is not None else before
-            mine, theirs = shared_lines(row[2], previous[2]) if previous and previous[1] == row[1] and (row[3] or previous[3]) else (set(), set())
+            mine, theirs = shared_lines(row[2], previous[2]) if previous and previous[1] == row[1] else (set(), set())
             if held is not None:
                 emit(held, with_before | theirs)
             held, with_before = row, mine
             if len(keys) >= 4096:
-                yield _gone(keys, gone)
-                keys, gone = [], []
+                yield _gone(keys, counts, gone)
+                keys, counts, gone = [], [], []
         if held is not None and held is not after:
             emit(held, with_before)
-        yield _gone(keys, gone)
+        yield _gone(keys, counts, gone)
 
     return run
 
 
-def _gone(keys, gone):
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["page_key", "gone"])
+def _gone(keys, counts, gone):
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int32()), pa.array(gone, pa.list_(pa.int32()))], names=["page_key", "shared", "gone"])
 
 
 def furniture(pages: DataFrame) -> DataFrame:
-    """``(page_key, gone)``: places of the lines that differencing deletes; ``page_key`` is a hash of id, URL and html."""
+    """``(page_key, shared, gone)``: the number of lines shared with the nearest pages, and places of those that differencing deletes; ``page_key`` is a hash of id, URL and html."""
     spark = pages.sparkSession
     keyed = pages.select(_key().alias("page_key"), "url", "html")
     order = ["host", "path", "page_key"]
@@ -262,7 +262,7 @@ def furniture(pages: DataFrame) -> DataFrame:
     by = {(r.pid, r.e): (r.page_key, r.host, list(r.lines), list(r.loose)) for r in ends}
     for a, b in zip(pids, pids[1:]):
         near[b, "before"], near[a, "after"] = by[a, 1], by[b, 0]
-    return lines.mapInArrow(_difference(near), "page_key long, gone array<int>").dropDuplicates(["page_key"])
+    return lines.mapInArrow(_difference(near), "page_key long, shared int, gone array<int>").dropDuplicates(["page_key"])
 
 
 def _key():
@@ -275,14 +275,16 @@ def _texts(batches):
         for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             lost = set(gone or ())
             texts.append("\n".join(t for i, (t, z) in enumerate(blocks(page)) if z != DROP and i not in lost))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        shared = pa.array([n or 0 for n in batch.column(4).to_pylist()], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), shared], names=["page_id", "url", "text", "n_chars", "n_shared"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` for every row of ``pages``."""
+    """``(page_id, url, text, n_chars, n_shared)`` for every row of ``pages``;
+    ``n_shared`` counts the lines that a nearest page shares, kept ones too."""
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     met = pages.withColumn("page_key", _key()).join(furniture(pages), "page_key", "left")
-    return met.select("page_id", "url", "html", "gone").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return met.select("page_id", "url", "html", "gone", "shared").mapInArrow(_texts, "page_id long, url string, text string, n_chars long, n_shared int")
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -98,6 +98,8 @@ def test_extraction(spark):
         assert r.n_chars == len(r.text)
         out.setdefault(r.page_id, r.text)
     assert all(out[i] == f"Story {i}" for i in range(1, 9)) and out[20] == "Alone\nHere" and out[21] == out[22] == "" and out[23] == out[24] == "Mirror"
+    shared = {r.page_id: r.n_shared for r in found}
+    assert shared[4] == 2 and shared[20] == 0 and shared[23] == shared[24] == len(html_extract.blocks(rows[-2][2]))
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
