@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle as checkpoint
+from ..session import shared_dir
+
+__all__ = ["BLANKS", "checkpoint", "connected_components", "dealt_anew", "partitions", "shared_dir", "table"]
+
 #: White space of the operator contracts, as bytes: space and U+0009 to U+000D.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -15,36 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    ``spark.checkpoint.dir`` names it.  Where it is unset, a local session (tests)
-    gets a temporary folder and a cluster gets one below the warehouse.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if sc.master.split("[")[0] == "local":
-            found = tempfile.mkdtemp(prefix="redoubt-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_redoubt"
-        sc.setCheckpointDir(found)
-    return found
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage there."""
-    spark = df.sparkSession
-    shared = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt_anew(column: str) -> Column:
+    """A long key whose earlier partitioning the planner doesn't know: a join on
+    it shuffles both sides, so a key's many rows can be split among tasks."""
+    return F.col(column).bitwiseXOR(F.lit(0).cast("long"))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of the undirected ``edges(u, v)``; the
     root is the smallest node of its component.
@@ -60,7 +43,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u").alias("c"), F.least("u", "m").alias("m"))
         met = both.join(least, both.u == least.c)
         if large:
             out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

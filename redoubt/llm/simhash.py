@@ -38,6 +38,7 @@ from . import common
 
 WORDS, RADIUS, SEED = 4, 4, 42
 BUCKET = 4096
+BROADCAST_ROWS = 10_000  # large buckets, of 24 bytes each, up to which they are broadcast
 _LANES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -92,9 +93,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, takes: i
 
 
 def tables_for(distinct: int, radius: int) -> list[int]:
-    """Bit masks of the tables: the fewest blocks that leave at most 256 unlike fingerprints to a bucket."""
+    """Bit masks of the tables: the fewest blocks that leave at most 1024 unlike
+    fingerprints to a bucket, which is cheaper to compare in planes than to deal out in more tables."""
     k = radius + 1
-    while k < 2 * radius and distinct / 2 ** (64 * (k - radius) / k) > 256:
+    while k < 2 * radius and distinct / 2 ** (64 * (k - radius) / k) > 1024:
         k += 1
     cuts = [round(64 * i / k) for i in range(k + 1)]
     blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
@@ -208,9 +210,10 @@ def _buckets(radius: int, tables: int):
 
     def done(cols):
         key = np.stack(cols[:3], axis=1)
-        starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1])
-        u, v = links(cols[3].view(np.uint64), starts, radius)
-        return u, v
+        new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
+        alone = new & np.concatenate([new[1:], [True]])
+        fps, new = cols[3].view(np.uint64)[~alone], new[~alone]
+        return links(fps, np.flatnonzero(new), radius) if len(fps) else (fps, fps)
 
     def batch_of(take, pair):
         u, v = (x.view(np.int64) for x in pair)
@@ -248,13 +251,18 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, most: int = BUCKET) ->
     masks = tables_for(per_take, radius)
     entry = F.explode(F.array(*[F.struct((F.col("take") * len(masks) + i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for i, m in enumerate(masks)]))
     rows = distinct.select("fp", entry.alias("e")).select("e.tab", "e.key", "fp")
-    counts = rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
-    # Chunks of a large bucket meet two by two; a small bucket is one part.
+    # Only large buckets need their size: chunks of one meet two by two; a small bucket is one part.
+    large = common.checkpoint(rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > most))
     chunks = F.ceil(F.col("n") / (most // 2)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int")
     others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(j, own) * chunks + F.greatest(j, own))
-    parts = F.when(F.col("n") <= most, F.array(F.lit(-1))).otherwise(F.array_except(others, F.array(own * chunks + own)))
-    dealt = rows.join(counts, ["tab", "key"]).select("tab", "key", F.explode(parts).alias("part"), "fp")
+    parts = F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(F.array_except(others, F.array(own * chunks + own)))
+    many = large.count()
+    if many:
+        met = rows.join(F.broadcast(large) if many <= BROADCAST_ROWS else large, ["tab", "key"], "left")
+        dealt = met.select("tab", "key", F.explode(parts).alias("part"), "fp")
+    else:
+        dealt = rows.select("tab", "key", F.lit(-1).alias("part"), "fp")
     order = ["tab", "key", "part"]
     dealt = dealt.repartition(common.partitions(distinct.sparkSession), *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(_buckets(radius, len(masks)), "take int, u long, v long")
@@ -276,7 +284,7 @@ def components(fps: DataFrame, radius: int = RADIUS, takes: int = 1) -> DataFram
         edges = ends.select(F.col("a").alias("u"), F.col("b").alias("v")).union(named.join(first, ["take", "f"]).where("fp <> name").select("fp", "name"))
     roots = common.connected_components(edges).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id")).select(common.dealt_anew("root").alias("root"), "component_id")
     return fps.select("doc_id", "fp").join(rooted.join(of_root, "root").select("fp", "component_id"), "fp")
 
 
