@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from redoubt.llm import common, decontaminate, mixing, simhash, token_shards, toxicity
 
-SHINGLE_WORDS, RADIUS, TAKES = 5, 4, 12
+SHINGLE_WORDS, RADIUS, TAKES = 5, 4, 18
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
