@@ -46,7 +46,7 @@ from . import common
 
 END_ID = 2
 SHARD_IDS = 8 << 20  # a shard is closed at the first document that reaches this many ids
-CACHED_PIECES = 1_200_000
+CACHED_PIECES = 700_000
 _MAGIC = b"RDMPH1\x00\x00"
 _HEAD = struct.Struct("<8sIIQQ")  # magic, id bytes, buckets, slots, ids
 _SLOT = np.dtype([("print", "<u4"), ("records", "<u4"), ("offset", "<u8"), ("length", "<u8")])
