@@ -1,9 +1,9 @@
 """A corpus pipeline of the training-data operators.
 
 Each stage takes all that its predecessor kept; all but the last return the
-columns of ``documents``.  Near copies are looked for with five-word shingles
-and TAKES fingerprints of at most four differing bits, so that copies of a
-similarity of 0.8 and more are likely linked; one document of a group stays.
+columns of ``documents``.  Near copies are texts whose sets of five-word shingles
+have a Jaccard similarity of 0.8 or more: SimHash proposes the pairs and the two
+texts decide; one document of a group stays.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redoubt.llm import common, decontaminate, mixing, simhash, token_shards, toxicity
+from redoubt.llm import common, decontaminate, mixing, near_copies, token_shards, toxicity
 
-SHINGLE_WORDS, RADIUS, TAKES = 5, 4, 18
+SHINGLE_WORDS = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs, SHINGLE_WORDS, RADIUS, TAKES)
+    return near_copies.dedup(docs, SHINGLE_WORDS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

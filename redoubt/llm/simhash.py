@@ -167,8 +167,9 @@ def _forest(n: int, rows: np.ndarray, blocks: np.ndarray, lanes: np.ndarray) ->
     return out
 
 
-def links(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forests of buckets ``fps[starts[i]:starts[i+1]]``, each without repeats."""
+def near_lanes(fps: np.ndarray, starts: np.ndarray, radius: int):
+    """For buckets ``fps[starts[i]:starts[i+1]]`` that hold fingerprints within the radius: the bucket's start, its
+    links as lane words per (row, block), and its size."""
     sizes = np.diff(np.append(starts, len(fps)))
     n_blocks = -(-sizes // 64)
     first_block = np.concatenate([[0], np.cumsum(n_blocks)])
@@ -181,7 +182,7 @@ def links(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray,
     part = sizes % 64 != 0
     void[first_block[1:][part] - 1] = _LANES << (sizes[part] % 64).astype(np.uint64)
     pairs = n_blocks[bucket]
-    left, right, at, todo = [], [], 0, np.cumsum(pairs)
+    at, todo = 0, np.cumsum(pairs)
     got: dict[int, list] = {}
     while at < len(fps):
         till = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + 400_000, "right")))
@@ -198,13 +199,38 @@ def links(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray,
                 got.setdefault(b, []).append((lane[own[kept[a:z]]], within[kept[a:z]], lanes[a:z]))
         at = till
     for b, found in got.items():
-        rows, blocks, lanes = (np.concatenate(x) for x in zip(*found))
-        for child, parent in _forest(int(sizes[b]), rows, blocks, lanes):
-            left.append(starts[b] + child)
-            right.append(starts[b] + parent)
+        yield int(starts[b]), *(np.concatenate(x) for x in zip(*found)), int(sizes[b])
+
+
+def links(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forests of buckets ``fps[starts[i]:starts[i+1]]``, each without repeats."""
+    left, right = [], []
+    for start, rows, blocks, lanes, size in near_lanes(fps, starts, radius):
+        for child, parent in _forest(size, rows, blocks, lanes):
+            left.append(start + child)
+            right.append(start + parent)
     return fps[np.array(left, dtype=int)], fps[np.array(right, dtype=int)]
 
 
+def whole_buckets(batches, width: int):
+    """The first ``width`` columns of batches sorted by (table, key, part), in runs of whole buckets."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy().astype(np.int64) for i in range(width)]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
+        cut = len(same) - int(same.sum())
+        if cut >= 16384:
+            yield [c[:cut] for c in cols]
+            cols = [c[cut:] for c in cols]
+        held = cols
+    if held is not None:
+        yield held
+
+
 def _buckets(radius: int, tables: int):
     """Batches sorted by (table, key, part) to links; a bucket may span batches."""
 
@@ -225,46 +251,40 @@ def _buckets(radius: int, tables: int):
             yield batch_of(t, done([c[take == t] for c in cols]))
 
     def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(i).to_numpy().astype(np.int64) for i in range(4)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
-            cut = len(same) - int(same.sum())
-            if cut >= 16384:
-                yield from by_take([c[:cut] for c in cols])
-                cols = [c[cut:] for c in cols]
-            held = cols
-        if held is not None:
-            yield from by_take(held)
+        for cols in whole_buckets(batches, 4):
+            yield from by_take(cols)
 
     return run
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
-    """``(take, u, v)``: for each ``take`` of the distinct ``(take, fp)``, links that
-    span every component of its fingerprints within ``radius``."""
-    per_take = distinct.groupBy("take").count().agg(F.max("count")).first()[0] or 0
-    masks = tables_for(per_take, radius)
-    entry = F.explode(F.array(*[F.struct((F.col("take") * len(masks) + i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for i, m in enumerate(masks)]))
-    rows = distinct.select("fp", entry.alias("e")).select("e.tab", "e.key", "fp")
+def deal(rows: DataFrame, most: int, by: str = "fp", *then: str) -> DataFrame:
+    """``rows`` with ``tab`` and ``key`` and a ``part`` after them, dealt to tasks and sorted by the three (and ``then``); buckets of more than
+    ``most`` are cut into chunks by a hash of ``by``, and each pair of chunks is a part."""
+    rest = [c for c in rows.columns if c not in ("tab", "key")]
     # Only large buckets need their size: chunks of one meet two by two; a small bucket is one part.
     large = common.checkpoint(rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > most))
     chunks = F.ceil(F.col("n") / (most // 2)).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int")
+    own = F.pmod(F.xxhash64(by, F.lit(7)), chunks).cast("int")
     others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(j, own) * chunks + F.greatest(j, own))
     parts = F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(F.array_except(others, F.array(own * chunks + own)))
     many = large.count()
     if many:
         met = rows.join(F.broadcast(large) if many <= BROADCAST_ROWS else large, ["tab", "key"], "left")
-        dealt = met.select("tab", "key", F.explode(parts).alias("part"), "fp")
+        dealt = met.select("tab", "key", F.explode(parts).alias("part"), *rest)
     else:
-        dealt = rows.select("tab", "key", F.lit(-1).alias("part"), "fp")
+        dealt = rows.select("tab", "key", F.lit(-1).alias("part"), *rest)
     order = ["tab", "key", "part"]
-    dealt = dealt.repartition(common.partitions(distinct.sparkSession), *order).sortWithinPartitions(*order)
+    return dealt.repartition(common.partitions(rows.sparkSession), *order).sortWithinPartitions(*order, *then)
+
+
+def near_links(distinct: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
+    """``(take, u, v)``: for each ``take`` of the distinct ``(take, fp)``, links that
+    span every component of its fingerprints within ``radius``."""
+    per_take = distinct.groupBy("take").count().agg(F.max("count")).first()[0] or 0
+    masks = tables_for(per_take, radius)
+    entry = F.explode(F.array(*[F.struct((F.col("take") * len(masks) + i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for i, m in enumerate(masks)]))
+    rows = distinct.select("fp", entry.alias("e")).select("e.tab", "e.key", "fp")
+    dealt = deal(rows, most)
     return dealt.mapInArrow(_buckets(radius, len(masks)), "take int, u long, v long")
 
 
@@ -296,7 +316,11 @@ def near_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
 def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, takes: int = 1) -> DataFrame:
     """The rows of each component's smallest ``doc_id``, without repeats of a
     row's text under one ``doc_id``.  Rows without ``doc_id`` all stay."""
-    found = near_components(docs, words, radius, takes=takes)
+    return least_rows(docs, near_components(docs, words, radius, takes=takes))
+
+
+def least_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that ``dedup`` keeps, given the ``component_id`` of every row."""
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
     packed = docs.select("doc_id", F.xxhash64("text").alias("of_text"), F.struct("*").alias("row"))
     kept = packed.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi")

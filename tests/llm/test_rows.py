@@ -207,3 +207,49 @@ def test_index_is_minimal_and_perfect():
     index = token_shards.Index(token_shards.build_index(keys, [1] * len(keys), keys, [3] * len(keys), 2, 9))
     assert index.n == len(keys) and all(index.find(k) == (k, 3, 1) for k in keys)
     assert sum(index.find(k) is not None for k in range(1, 70000, 7)) <= 1
+
+
+def test_near_copies_link_at_the_threshold_and_not_below(spark):
+    from redoubt.llm import near_copies
+
+    some = random.Random(5)
+    rows, alike = [], set()
+    for i in range(300):
+        n = some.randrange(24, 400)
+        words = [f"w{some.randrange(10**6)}" for _ in range(n)]
+        k = (n - 4) // 9 + i % 2  # the last k words differ: similarity (n - 4 - k) / (n - 4 + k), at or just under 0.8
+        rows += [(i, " ".join(words), "a"), (1000 + i, " ".join(words[: n - k] + [f"x{i}x{j}" for j in range(k)]), "b")]
+        if 5 * (n - 4 - k) >= 4 * (n - 4 + k):
+            alike.add(1000 + i)
+    body = [f"g{j}" for j in range(200)]
+    rows += [(3000 + i, " ".join(body[:190] + [f"t{i}"] + body[191:]), "a") for i in range(60)]  # a group
+    rows += [(None, "lost", "a"), (4000, None, "a"), (4001, "", "a"), (4002, rows[0][1].upper() + " ", "a")]
+    found = near_copies.near_copies(docs(spark, rows), 5).collect()
+    assert len(found) == len(rows)
+    got = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
+    linked = {i for i in range(1000, 1300) if got[i] == i - 1000}
+    assert 140 < len(alike) < 160 and linked <= alike and len(linked) >= 0.98 * len(alike)
+    assert all(got[i] == 3000 for i in range(3000, 3060)) and got[4001] == got[4000] == 4000 and got[4002] == 0
+    kept = near_copies.dedup(docs(spark, rows), 5)
+    assert kept.columns == docs(spark, rows).columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([i for i, c in got.items() if i == c] + [None], key=repr)
+    assert near_copies.dedup(docs(spark, []), 5).count() == 0
+
+
+def test_candidates_of_cut_buckets(spark):
+    from redoubt.llm import near_copies
+
+    some = random.Random(6)
+    rows = []
+    for g in range(3):
+        centre = [some.getrandbits(64) for _ in range(3)]
+        for i in range(120):
+            near = [f ^ sum({1 << some.randrange(64) for _ in range(3)}) for f in centre]
+            rows.append((g * 1000 + i, [f - (1 << 64) if f >> 63 else f for f in near]))
+    marks = spark.createDataFrame(rows, "node long, fps array<long>")
+    none = spark.createDataFrame([], "node long, root long")
+    want = {(g * 1000 + i, g * 1000 + j) for g in range(3) for i in range(120) for j in range(i + 1, 120)}
+    for most in (4096, 16):
+        assert {tuple(r) for r in near_copies.candidates(marks, none, 8, 21, most).collect()} == want
+        forest = near_copies.candidates(marks, None, 8, 21, most)
+        roots = common.connected_components(forest).collect()
+        assert {(r.node, r.root) for r in roots} == {(i, i // 1000 * 1000) for i, _ in rows}
