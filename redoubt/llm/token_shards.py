@@ -2,43 +2,48 @@
 
 Documents are range-partitioned by ``doc_id`` and sorted, so a partition's
 payload is a run of the whole id stream.  Every task encodes its texts and
-writes shard files into the shared folder:
+writes shards into the shared folder, three files each:
 
-  ``<name>.ids``  the ids, raw little-endian, 2 bytes each where the vocabulary
-                  fits and 4 otherwise; nothing else
-  ``<name>.mph``  the index: header, seeds, then one slot per distinct key
+  ``<name>.ids``   the ids, raw little-endian, 2 bytes each where the vocabulary
+                   fits and 4 otherwise; nothing else
+  ``<name>.mph``   the index: header, seeds, one slot per distinct key, and the
+                   number of ids of each record, 4 bytes each, in file order
+  ``<name>.keys``  the records' keys, raw, 8 bytes each, in file order: to list
+                   a shard; keyed access doesn't read it
 
 The index is a two-level minimal perfect hash (hash and displace): a key's
 bucket gives a seed, and the seed sends the keys of the bucket to slots of
-their own.  A slot holds a 32-bit fingerprint of its key, the offset of its
-first id, and the number of records and ids, so a lookup costs two hashes and
-one read whatever the shard's size, and a key that isn't there is told apart by
-its fingerprint (a stranger passes with a probability of 2^-32).
+their own; a bucket of one key names its slot.  A slot holds a 32-bit
+fingerprint of its key, the offset of its first id, the number of its first
+record and how many it has.  A lookup finds the shard in the manifest by
+bisection over the keys' ranges and reads header, one seed, one slot and the
+ids by their offsets, whatever the shard's size; a key that isn't there is told
+apart by its fingerprint (a stranger passes with a probability of 2^-32).
 
 A task's row in the manifest commits its files: names hold a fresh id per
 attempt and only files named in the manifest are read, so a lost executor's
-half-written files never count.
+half-written files never count.  Texts are shuffled rather than ids: ids barely
+compress, and the range partition reads its input twice, which must not encode.
 
 Definitions: a null text is empty; every document ends with the end id, so an
 empty one has one id.  Rows that repeat a ``doc_id`` are neighbours, ordered by
 text; the index returns all of them.  Rows without ``doc_id`` come first, are
-read by scanning and are not in the index.
+read by scanning and are not in the index.  An empty table has an empty
+manifest and no rows.  Columns but ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
-from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,90 +51,258 @@ from . import common
 
 END_ID = 2
 SHARD_IDS = 8 << 20  # a shard is closed at the first document that reaches this many ids
-CACHED_PIECES = 700_000
-_MAGIC = b"RDMPH1\x00\x00"
-_HEAD = struct.Struct("<8sIIQQ")  # magic, id bytes, buckets, slots, ids
-_SLOT = np.dtype([("print", "<u4"), ("records", "<u4"), ("offset", "<u8"), ("length", "<u8")])
-_MANIFEST = "part int, shard int, name string, width int, n_docs long, n_ids long"
-_MARK = "\x00"
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-_LOOSE_POINT = re.compile(r"(?:^|[\W_])[.,]")
+SHARD_DOCS = 1 << 18  # or this many documents
+CACHED_PIECES = 1_000_000  # in each of the two generations of a worker's table, of some 40 bytes each
+_MAGIC = b"RDMPH2\x00\x00"
+_HEAD = struct.Struct("<8sIIIIIIQ")  # magic, id bytes, buckets, slots, records, records without key, unused, ids
+_SLOT = np.dtype([("print", "<u4"), ("records", "<u4"), ("first", "<u4"), ("unused", "<u4"), ("offset", "<u8")])
+_MANIFEST = "part int, shard int, name string, width int, n_docs long, n_ids long, least long, greatest long"
 
 
 # ---- encoding
 
 
+# Classes of UTF-8 bytes.  Letters beyond ASCII are known for the two-byte forms of U+00C0 to U+024F; UNKNOWN is the rest.
+LETTER, DIGIT, SIGN, SPACE, OTHER_SPACE, UNKNOWN = range(6)
+_CLASS = np.full(256, UNKNOWN, dtype=np.uint8)
+for _b in range(128):
+    _CLASS[_b] = LETTER if chr(_b).isalpha() else DIGIT if chr(_b).isdigit() else SPACE if _b == 32 else OTHER_SPACE if 9 <= _b <= 13 else SIGN if 33 <= _b < 127 else UNKNOWN
+_LEADS = np.zeros(256, dtype=bool)
+_LEADS[0xC3:0xCA] = True
+
+
+def byte_classes(b: np.ndarray) -> np.ndarray:
+    classes = _CLASS[b]
+    at = np.flatnonzero(_LEADS[b[:-1]])
+    at = at[~((b[at] == 0xC3) & ((b[at + 1] == 0x97) | (b[at + 1] == 0xB7)))]  # the signs of multiplication and division
+    classes[at] = classes[at + 1] = LETTER
+    return classes
+
+
+def piece_starts(b: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where the splitter of a byte-level model always begins a new piece, and the classes of the bytes.
+
+    The splitter takes contractions, an optional space and a run of letters, of
+    digits or of signs, and white space but for the last one before a word.
+    """
+    c = byte_classes(b)
+    known, space, word = c != UNKNOWN, (c == SPACE) | (c == OTHER_SPACE), c <= SIGN
+    cut = np.zeros(len(b), dtype=bool)
+    if len(b) > 1:
+        was, now = c[:-1], c[1:]
+        # White space after a word; another kind of sign, where an apostrophe may belong to the letters that follow.
+        cut[1:] = word[:-1] & (space[1:] | word[1:] & (was != now) & ~((b[:-1] == 39) & (now == LETTER)))
+        last = space[1:] & np.append(word[2:], False)  # the last white space before a word
+        cut[1:] |= space[:-1] & last
+        # A word after white space that can't be its own: two known bytes before it leave no doubt where that began.
+        cut[1:] |= (was == OTHER_SPACE) & word[1:] & np.append(True, known[:-2])
+    # Contexts end with the document.
+    inner = doc_starts[(doc_starts > 0) & (doc_starts < len(b))]
+    cut[inner] = True
+    ends_in_space = inner[space[inner - 1]]
+    before = ends_in_space[ends_in_space > 1]
+    cut[before - 1] &= ~(space[before - 1] & space[before - 2]) | np.isin(before - 1, doc_starts)
+    if len(b):
+        cut[0] = True
+    return np.flatnonzero(cut), c
+
+
+class Pieces:
+    """A bounded table from 64-bit hashes of pieces to their ids, in arrays alone."""
+
+    def __init__(self, most: int, dtype):
+        self.bits, self.named = (2 * most).bit_length(), 0
+        self.keys, self.entry = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.int32)
+        self.begin, self.n = np.zeros(1024, dtype=np.int64), 0  # entry i holds ids[begin[i]:begin[i + 1]]
+        self.ids = np.zeros(1024, dtype=dtype)
+
+    def put(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """New entries with ``counts`` ids each."""
+        at = int(self.begin[self.n])
+        while len(self.ids) < at + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.begin) <= self.n + len(counts):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.ids[at : at + len(ids)] = ids
+        self.begin[self.n + 1 : self.n + len(counts) + 1] = at + np.cumsum(counts)
+        self.n += len(counts)
+        return np.arange(self.n - len(counts), self.n)
+
+    def add(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        """Name entries by distinct hashes that aren't in the table, which doubles when half full."""
+        self.named += len(hashes)
+        if 2 * self.named > len(self.keys):
+            held = self.keys != 0
+            hashes, entries = np.concatenate([self.keys[held], hashes]), np.concatenate([self.entry[held], entries])
+            self.bits = (2 * self.named).bit_length()
+            self.keys, self.entry = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.int32)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(hashes):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[free]
+            won = self.keys[slot] == hashes
+            self.entry[slot[won]] = entries[won]
+            hashes, entries, slot = hashes[~won], entries[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Their entries, -1 for those that aren't there."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        live, slot = np.arange(len(hashes)), (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(live):
+            key = self.keys[slot]
+            hit = key == hashes[live]
+            out[live[hit]] = self.entry[slot[hit]]
+            on = ~hit & (key != 0)
+            live, slot = live[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def take(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``entries`` one after another, and how many each has."""
+        begin = self.begin[entries]
+        counts = self.begin[entries + 1] - begin
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(begin - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)], counts
+
+
+_SEGMENT, _LONG = 1 << 15, 255  # of bytes: hashed at once, within a core's cache; and hashed at all
+
+
+class Hasher:
+    """Hashes of many pieces of a byte string by one pass: sums of random numbers of the bytes times powers, from prefix sums."""
+
+    def __init__(self, seed: int = 2026):
+        some = np.random.default_rng(seed)
+        self.letters = some.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        n = _SEGMENT + _LONG + 1
+        self.powers = np.full(n, int(some.integers(1 << 62)) << 3 | 5, dtype=np.uint64)
+        self.powers[0] = 1
+        np.cumprod(self.powers, out=self.powers)
+
+    def __call__(self, b: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of the pieces of up to ``_LONG`` bytes; others get 0."""
+        out, top = np.zeros(len(starts), dtype=np.uint64), len(self.powers) - 1
+        for seg in range(0, len(b), _SEGMENT):
+            i, j = np.searchsorted(starts, [seg, seg + _SEGMENT])
+            some = b[seg : seg + top]
+            sums = np.zeros(len(some) + 1, dtype=np.uint64)
+            np.cumsum(self.letters[some] * self.powers[: len(some)], out=sums[1:])
+            short = np.flatnonzero(sizes[i:j] <= _LONG)
+            at = starts[i:j][short] - seg
+            found = (sums[at + sizes[i:j][short]] - sums[at]) * self.powers[top - at]
+            found[found == 0] = 1
+            out[i + short] = found
+        return out
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A byte-level BPE splits a text before every space, on both sides of every
-    line feed, and before every full stop and comma after a letter or digit, as
-    long as a space or line feed stands between two characters that aren't white
-    space.  Such pieces are encoded on their own, each distinct one once while
-    it stays in a bounded cache.  A piece of Latin letters alone is one word to
-    the library's splitter, so it goes to a copy of the tokenizer without one,
-    spelled in the model's byte alphabet.  Texts that hold a special token, and
-    those of tokenizers of another make, are encoded whole.
+    The splitter of a byte-level BPE begins a new piece at places that the
+    classes of neighbouring bytes tell, so a batch of texts is cut there by
+    array operations, each piece is named by a 64-bit hash and each distinct
+    one is encoded once while it stays in a bounded table (unlike pieces are
+    taken as equal with a chance below 1e-13 a new piece).  The table has two
+    generations: pieces that are met again move to the young one, and the old
+    one goes when the young one is full.
+
+    A piece of one kind of sign is one word to the splitter, so many go to the
+    library at once, spelled in the model's byte alphabet, by a copy of the
+    tokenizer that splits at line feeds, of which that alphabet has none; a
+    token's length in bytes tells where the next piece begins.  Pieces with
+    other bytes are encoded as they are, and so are whole texts that hold a
+    special token and those of tokenizers of another make.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, most: int = CACHED_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path) as f:
             made = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         pre = made.get("pre_tokenizer") or {}
         self.by_piece = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and made["model"]["type"] == "BPE"
-        if self.by_piece:
-            self.words = Tokenizer.from_str(json.dumps(made | {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
         self.special = [t["content"] for t in made.get("added_tokens", [])]
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
-        self.cache: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str], words: bool = False) -> list[bytes]:
-        code = self.code
-        return [array(code, e.ids).tobytes() for e in (self.words if words else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str] | None:
-        """The pieces of ``text``, or None if it must be encoded whole."""
-        if not self.by_piece or _MARK in text or any(s in text for s in self.special):
-            return None
-        # One class a byte tells, without a loop over characters, whether the plain cuts hold.
-        kinds = text.encode().translate(_KINDS)
-        latin = b"z" not in kinds
-        points = not (b"xp" in kinds or b"pp" in kinds or b"sp" in kinds or kinds[:1] == b"p") if latin else not _LOOSE_POINT.search(text)
-        if points:
-            text = text.replace(".", _MARK + ".").replace(",", _MARK + ",")
-        if latin and not (b"w" in kinds or b"ss" in kinds or kinds[:1] == b"s" or kinds[-1:] == b"s"):
-            return text.replace("\n", _MARK + "\n" + _MARK).replace(" ", _MARK + " ").split(_MARK)
-        return _CUT.sub(_MARK, text).split(_MARK)
-
-    def _learn(self, new: list[str]) -> None:
-        words, other = [], []
-        for p in new:
-            (words if _WORD.fullmatch(p) else other).append(p)
-        for group, plain in ((words, True), (other, False)):
-            for at in range(0, len(group), 4096):
-                some = group[at : at + 4096]
-                spelled = [p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in some] if plain else some
-                self.cache.update(zip(some, self._bytes(spelled, plain)))
+        if self.by_piece:
+            self.words = Tokenizer.from_str(json.dumps(made | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "added_tokens": []}))
+            self.token_bytes = np.zeros(max(made["model"]["vocab"].values()) + 1, dtype=np.int32)
+            for token, i in made["model"]["vocab"].items():
+                self.token_bytes[i] = len(token)  # a letter of the alphabet is a byte
+            self.most, self.hasher = most, Hasher()
+            self.young = self.old = Pieces(most, self.dtype)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``pieces`` one after another, and how many each has; ``plain`` ones are single words to the splitter."""
+        ids, counts = [], []
+        words = [p for p, one in zip(pieces, plain.tolist()) if one]
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            spelled = "\n".join([p.decode("latin-1").translate(_BYTE_LETTERS) for p in some])
+            found = np.array(self.words.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.searchsorted(np.cumsum(self.token_bytes[found]), np.cumsum([len(p) for p in some])) + 1
+            ids.append(found)
+            counts.append(np.diff(ends, prepend=0))
+        rest = self._whole([p.decode() for p, one in zip(pieces, plain.tolist()) if not one])
+        ids, counts = np.concatenate([*ids, *rest, self.young.ids[:0]]), np.concatenate([*counts, [len(x) for x in rest]]).astype(np.int64)
+        # From words first to the order of the pieces.
+        back = np.argsort(np.argsort(~plain, kind="stable"), kind="stable")
+        begin = (np.cumsum(counts) - counts)[back]
+        counts = counts[back]
+        ends = np.cumsum(counts)
+        return ids[np.repeat(begin - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)], counts
+
+    def _entries(self, raw: bytes, starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The young table's entries of all pieces."""
+        sizes = np.diff(starts, append=len(raw))
+        hashes = self.hasher(np.frombuffer(raw, dtype=np.uint8), starts, sizes)
+        out = self.young.find(hashes)
+        short = sizes <= _LONG
+        lost = np.flatnonzero((out < 0) & short)
+        new, first = np.unique(hashes[lost], return_index=True)
+        kept = self.old.find(new)
+        again = kept >= 0
+        if again.any():
+            self.young.add(new[again], self.young.put(*self.old.take(kept[again])))
+        where = np.concatenate([lost[first[~again]], np.flatnonzero(~short)])
+        if len(where):
+            a, z = starts[where], starts[where] + sizes[where]
+            # One kind of byte after the first: a word, a space and a word, or white space.
+            change = np.concatenate([[0], np.cumsum((classes[1:] != classes[:-1]) | (classes[1:] == UNKNOWN))])
+            after = a + (classes[a] == SPACE) * (z - a > 1)
+            space = (classes[a] == SPACE) | (classes[a] == OTHER_SPACE)
+            blank = np.concatenate([[0], np.cumsum((classes != SPACE) & (classes != OTHER_SPACE))])
+            plain = (change[z - 1] == change[after]) & (classes[after] <= SIGN) | space & (blank[z] == blank[a])
+            entries = self.young.put(*self._learn([raw[x:y] for x, y in zip(a.tolist(), z.tolist())], plain))
+            n = len(where) - int((~short).sum())
+            self.young.add(new[~again], entries[:n])
+            out[where[n:]] = entries[n:]
+        out[lost] = self.young.find(hashes[lost])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as raw bytes."""
-        if len(self.cache) > CACHED_PIECES:
-            self.cache.clear()
-        split = [self.pieces(t) for t in texts]
-        slow = iter(self._bytes([t for t, p in zip(texts, split) if p is None]))
-        seen: set[str] = set()
-        for p in split:
-            if p:
-                seen.update(p)
-        self._learn(list(seen.difference(self.cache)))
-        return [(next(slow) if p is None else b"".join(map(self.cache.__getitem__, p))) + self.end for p in split]
+        whole = [not self.by_piece or any(s in t for s in self.special) for t in texts]
+        slow = iter(self._whole([t for t, w in zip(texts, whole) if w]))
+        raws = [b"" if w else t.encode() for t, w in zip(texts, whole)]
+        if not self.by_piece:
+            return [next(slow).tobytes() + self.end for _ in texts]
+        if self.young.n > self.most:
+            self.young, self.old = Pieces(self.most, self.dtype), self.young
+        raw = b"".join(raws)
+        doc_ends = np.cumsum([len(r) for r in raws])
+        starts, classes = piece_starts(np.frombuffer(raw, dtype=np.uint8), doc_ends)
+        ids, counts = self.young.take(self._entries(raw, starts, classes))
+        at = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, doc_ends)] * self.dtype.itemsize
+        stream, begin, out = ids.tobytes(), 0, []
+        for end, w in zip(at.tolist(), whole):
+            out.append((next(slow).tobytes() if w else stream[begin:end]) + self.end)
+            begin = end
+        return out
 
 
 def _byte_letters() -> dict[int, str]:
@@ -140,13 +313,6 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
-
-# Classes of UTF-8 bytes: a letter or digit of ASCII or part of a Latin letter, p point or comma,
-# s space or line feed, w other white space, z beyond Latin, x anything else.
-_KINDS = bytes(
-    ord("s" if b in b" \n" else "w" if b in b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f" else "p" if b in b".," else "a" if bytes([b]).isalnum() or b == 0xC3 or 0x80 <= b < 0xC0 and b not in (0x97, 0xB7) else "z" if b >= 0x80 else "x")
-    for b in range(256)
-)
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -161,54 +327,89 @@ def encoder(path: str, end_id: int) -> Encoder:
 # ---- index
 
 
-def _hash(key: int, seed: int) -> int:
-    return xxhash.xxh64_intdigest(struct.pack("<q", key), seed)
+def mixed(keys: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """A hash of 64-bit keys under a seed: the finisher of a counter generator."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.int64).view(np.uint64) + (np.asarray(seed, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
-def build_index(keys: list[int], records: list[int], offsets: list[int], lengths: list[int], id_bytes: int, n_ids: int) -> bytes:
-    """The ``.mph`` file of distinct ``keys``."""
-    n = len(keys)
+def build_index(keys, lengths, id_bytes: int) -> bytes:
+    """The ``.mph`` file of records in file order: those without key (None) first, equal keys together."""
+    lengths = np.asarray(lengths, dtype=np.int64)
+    loose = sum(k is None for k in keys)
+    named = np.array(keys[loose:], dtype=np.int64)
+    distinct, first, records = np.unique(named, return_index=True, return_counts=True)
+    n, starts = len(distinct), np.cumsum(lengths) - lengths
     n_buckets = max(1, -(-n // 4))
-    buckets: list[list[int]] = [[] for _ in range(n_buckets)]
-    for i, key in enumerate(keys):
-        buckets[_hash(key, 0) % n_buckets].append(i)
-    seeds, slots = np.zeros(n_buckets, dtype="<u4"), np.zeros(n, dtype=_SLOT)
-    taken = bytearray(n)
-    for b in sorted(range(n_buckets), key=lambda b: -len(buckets[b])):
-        if not buckets[b]:
-            continue
-        seed = 1
-        while True:
-            at = [_hash(keys[i], seed) % n for i in buckets[b]]
-            if len(set(at)) == len(at) and not any(taken[x] for x in at):
+    seeds, slots = np.zeros(n_buckets, dtype="<i4"), np.zeros(n, dtype=_SLOT)
+    hashed = mixed(distinct, 0)
+    of_bucket = (hashed % np.uint64(n_buckets)).astype(np.int64)
+    by = np.argsort(of_bucket, kind="stable")
+    sizes = np.bincount(of_bucket, minlength=n_buckets)
+    begins = np.cumsum(sizes) - sizes
+    place, free = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    for b in np.argsort(-sizes, kind="stable").tolist():
+        mine = by[begins[b] : begins[b] + sizes[b]]
+        if len(mine) < 2:
+            break
+        tried, many = 1, 8
+        while True:  # seeds by the block, larger ones as free slots get rare
+            at = (mixed(distinct[mine], np.arange(tried, tried + many)[:, None]) % np.uint64(n)).astype(np.int64)
+            fits = np.flatnonzero(free[at].all(axis=1) & (np.diff(np.sort(at, axis=1), axis=1) > 0).all(axis=1))
+            if len(fits):
                 break
-            seed += 1
-        seeds[b] = seed
-        for i, x in zip(buckets[b], at):
-            taken[x] = 1
-            slots[x] = (_hash(keys[i], 0) >> 32, records[i], offsets[i], lengths[i])
-    return _HEAD.pack(_MAGIC, id_bytes, n_buckets, n, n_ids) + seeds.tobytes() + slots.tobytes()
+            tried, many = tried + many, min(4096, many * 4)
+        seed, at = tried + int(fits[0]), at[fits[0]]
+        seeds[b], place[mine] = seed, at
+        free[at] = False
+    alone = np.flatnonzero(sizes == 1)
+    left = np.flatnonzero(free)
+    seeds[alone], place[by[begins[alone]]] = -1 - left, left
+    rows = np.zeros(n, dtype=_SLOT)
+    rows["print"], rows["records"], rows["first"], rows["offset"] = hashed >> np.uint64(32), records, loose + first, starts[loose + first]
+    slots[place] = rows
+    return _HEAD.pack(_MAGIC, id_bytes, n_buckets, n, len(lengths), loose, 0, int(lengths.sum())) + seeds.tobytes() + slots.tobytes() + lengths.astype("<u4").tobytes()
 
 
 class Index:
-    """Keyed access to a shard."""
+    """Keyed access to a shard; ``read(at, size)`` gives the bytes of its index file."""
 
-    def __init__(self, raw: bytes):
-        magic, self.id_bytes, n_buckets, self.n, self.n_ids = _HEAD.unpack_from(raw)
+    def __init__(self, read):
+        self.read = read
+        magic, self.id_bytes, self.n_buckets, self.n, self.n_records, self.n_loose, _, self.n_ids = _HEAD.unpack(read(0, _HEAD.size))
         if magic != _MAGIC:
             raise ValueError("not an index file")
-        self.seeds = np.frombuffer(raw, dtype="<u4", count=n_buckets, offset=_HEAD.size)
-        self.slots = np.frombuffer(raw, dtype=_SLOT, count=self.n, offset=_HEAD.size + 4 * n_buckets)
+        self._slots = _HEAD.size + 4 * self.n_buckets
+        self._lengths = self._slots + _SLOT.itemsize * self.n
 
-    def find(self, key: int):
-        """``(offset, length, records)`` in ids, or None."""
+    def lengths(self, first: int, records: int) -> np.ndarray:
+        return np.frombuffer(self.read(self._lengths + 4 * first, 4 * records), dtype="<u4").astype(np.int64)
+
+    def find(self, key: int) -> tuple[int, list[int]] | None:
+        """``(offset, lengths of its records)`` in ids, or None: one seed and one slot are read."""
         if not self.n:
             return None
-        first = _hash(key, 0)
-        slot = self.slots[_hash(key, int(self.seeds[first % len(self.seeds)])) % self.n]
+        own = np.array([key], dtype=np.int64)
+        first = int(mixed(own, 0)[0])
+        seed = int(np.frombuffer(self.read(_HEAD.size + 4 * (first % self.n_buckets), 4), dtype="<i4")[0])
+        at = -1 - seed if seed < 0 else int(mixed(own, seed)[0]) % self.n
+        slot = np.frombuffer(self.read(self._slots + _SLOT.itemsize * at, _SLOT.itemsize), dtype=_SLOT)[0]
         if int(slot["print"]) != first >> 32:
             return None
-        return int(slot["offset"]), int(slot["length"]), int(slot["records"])
+        return int(slot["offset"]), self.lengths(int(slot["first"]), int(slot["records"])).tolist()
+
+    def find_all(self, keys: np.ndarray) -> np.ndarray:
+        """The slots of many keys; raises if one isn't there."""
+        hashed = mixed(keys, 0)
+        seeds = np.frombuffer(self.read(_HEAD.size, 4 * self.n_buckets), dtype="<i4")[(hashed % np.uint64(self.n_buckets)).astype(np.int64)].astype(np.int64)
+        at = np.where(seeds < 0, -1 - seeds, (mixed(keys, np.maximum(seeds, 0)) % np.uint64(max(1, self.n))).astype(np.int64))
+        slots = np.frombuffer(self.read(self._slots, _SLOT.itemsize * self.n), dtype=_SLOT)[at]
+        if (slots["print"] != hashed >> np.uint64(32)).any():
+            raise ValueError("a key isn't in the index")
+        return slots
 
 
 # ---- files
@@ -226,20 +427,31 @@ def _put(folder: str, name: str, raw: bytes) -> None:
         f.write(raw)
 
 
-def read_ids(folder: str, name: str, width: int, offset: int = 0, length: int | None = None) -> np.ndarray:
+def _reads(folder: str, name: str):
+    """``read(at, size)`` of a file; a size of None reads to its end."""
     fs, base = _fs(folder)
-    with fs.open_input_file(f"{base}/{name}.ids") as f:
-        size = f.size() // width - offset if length is None else length
-        return np.frombuffer(f.read_at(size * width, offset * width), dtype=f"<u{width}")
+    path = f"{base}/{name}"
 
+    def read(at: int, size: int | None) -> bytes:
+        with fs.open_input_file(path) as f:
+            return f.read_at(f.size() - at if size is None else size, at)
 
-def read_index(folder: str, name: str) -> Index:
-    fs, base = _fs(folder)
-    with fs.open_input_file(f"{base}/{name}.mph") as f:
-        return Index(f.read())
+    return read
+
+
+def read_ids(folder: str, name: str, width: int, offset: int = 0, length: int | None = None) -> np.ndarray:
+    return np.frombuffer(_reads(folder, name + ".ids")(offset * width, None if length is None else length * width), dtype=f"<u{width}")
 
 
-def _writer(path: str, folder: str, end_id: int, shard_ids: int):
+def read_index(folder: str, name: str, whole: bool = False) -> Index:
+    read = _reads(folder, name + ".mph")
+    if not whole:
+        return Index(read)
+    raw = read(0, None)
+    return Index(lambda at, size: raw[at : at + size])
+
+
+def _writer(path: str, folder: str, end_id: int, shard_ids: int, shard_docs: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -248,27 +460,15 @@ def _writer(path: str, folder: str, end_id: int, shard_ids: int):
         keys, lengths, chunks, size, shard = [], [], [], 0, 0
 
         def close():
-            name = f"{TaskContext.get().partitionId():06d}-{shard:05d}-{uuid.uuid4().hex}"
+            part = TaskContext.get().partitionId()
+            name = f"{part:06d}-{shard:05d}-{uuid.uuid4().hex}"
+            named = [k for k in keys if k is not None]
             _put(folder, name + ".ids", b"".join(chunks))
-            distinct, records, offsets, spans, at = [], [], [], [], 0
-            for key, length in zip(keys, lengths):
-                if key is not None and distinct and distinct[-1] == key:
-                    records[-1] += 1
-                    spans[-1] += length
-                elif key is not None:
-                    distinct.append(key)
-                    records.append(1)
-                    offsets.append(at)
-                    spans.append(length)
-                at += length
-            _put(folder, name + ".mph", build_index(distinct, records, offsets, spans, width, size))
-            # Keys and lengths in file order, to read the records back without the texts.
-            table = pa.table({"doc_id": pa.array(keys, pa.int64()), "n_tokens": pa.array(lengths, pa.int64())})
-            fs, base = _fs(folder)
-            import pyarrow.parquet as pq
-
-            pq.write_table(table, f"{base}/{name}.keys.parquet", filesystem=fs)
-            return pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "shard": pa.array([shard], pa.int32()), "name": [name], "width": pa.array([width], pa.int32()), "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([size], pa.int64())})
+            _put(folder, name + ".keys", np.array(named, dtype="<i8").tobytes())
+            _put(folder, name + ".mph", build_index(keys, lengths, width))
+            row = (part, shard, name, width, len(keys), size, named[0] if named else None, named[-1] if named else None)
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.int64()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in _MANIFEST.split(", ")])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -278,7 +478,7 @@ def _writer(path: str, folder: str, end_id: int, shard_ids: int):
                     lengths.append(len(raw) // width)
                     chunks.append(raw)
                     size += lengths[-1]
-                    if size >= shard_ids:
+                    if size >= shard_ids or len(keys) >= shard_docs:
                         yield close()
                         keys, lengths, chunks, size, shard = [], [], [], 0, shard + 1
         if keys:
@@ -287,41 +487,35 @@ def _writer(path: str, folder: str, end_id: int, shard_ids: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Write ``docs(doc_id, text)`` below ``folder``, which must be seen by all
-    executors; returns the manifest ``part, shard, name, width, n_docs, n_ids``, in
-    which (part, shard) is the order of ascending ``doc_id``."""
+    executors; returns the manifest, in which (part, shard) is the order of
+    ascending ``doc_id`` and ``least`` and ``greatest`` are a shard's keys."""
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
     n = common.partitions(docs.sparkSession)
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, F.col("doc_id"), F.xxhash64("text"))
-    return common.checkpoint(dealt.sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), "text").mapInArrow(_writer(path, folder, end_id, shard_ids), _MANIFEST))
+    return common.checkpoint(dealt.sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), "text").mapInArrow(_writer(path, folder, end_id, shard_ids, shard_docs), _MANIFEST))
 
 
 def _reader(folder: str):
     def run(batches):
-        import pyarrow.parquet as pq
-
         for batch in batches:
             for name, width, base in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                fs, top = _fs(folder)
-                keys = pq.read_table(f"{top}/{name}.keys.parquet", filesystem=fs)
-                lengths = keys.column("n_tokens").to_numpy()
-                ends = np.cumsum(lengths)
+                index = read_index(folder, name, whole=True)
+                keys = np.frombuffer(_reads(folder, name + ".keys")(0, None), dtype="<i8")
+                slots = index.find_all(keys)
+                lengths = index.lengths(0, index.n_records)
+                starts = np.cumsum(lengths) - lengths
+                # Every keyed record lies where its key's slot says, as far behind the first one as those between are long.
+                numbers = index.n_loose + np.arange(len(keys))
+                starts[index.n_loose :] = slots["offset"].astype(np.int64) + starts[numbers] - starts[slots["first"]]
                 ids = read_ids(folder, name, width)
-                if ends[-1] != len(ids):
-                    raise ValueError(f"{name}: {len(ids)} ids, {ends[-1]} indexed")
-                index = read_index(folder, name)
-                doc_ids = keys.column("doc_id").to_pylist()
-                crcs, last = [], None
-                for key, length, end in zip(doc_ids, lengths.tolist(), ends.tolist()):
-                    if key is not None and key != last:
-                        found = index.find(key)
-                        if found is None or found[0] != end - length:
-                            raise ValueError(f"{name}: the index sends {key} to {found}")
-                    last = key
-                    crcs.append(zlib.crc32(ids[end - length : end].astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([keys.column("doc_id").combine_chunks(), pa.array(ends - lengths + base), pa.array(lengths), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                if len(ids) != index.n_ids or (numbers >= slots["first"] + slots["records"]).any() or (numbers < slots["first"]).any():
+                    raise ValueError(f"{name}: files and index disagree")
+                crcs = [zlib.crc32(ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(starts.tolist(), lengths.tolist())]
+                doc_ids = pa.array([None] * index.n_loose + keys.tolist(), pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts + base), pa.array(lengths), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -329,7 +523,7 @@ def _reader(folder: str):
 def read_shards(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """Every record of the files: ``doc_id, start, n_tokens, ids_crc32``."""
     at, rows = 0, []
-    for r in sorted(manifest.collect()):  # one row a shard
+    for r in sorted(manifest.select("part", "shard", "name", "width", "n_ids").collect()):  # one row a shard
         rows.append((r.name, r.width, at))
         at += r.n_ids
     if not rows:
@@ -338,14 +532,28 @@ def read_shards(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFr
     return shards.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(manifest_rows, folder: str, key: int) -> list[np.ndarray]:
-    """The ids of the documents ``key``, by index: one probe a shard, one read a hit."""
-    out = []
-    for r in manifest_rows:
-        found = read_index(folder, r.name).find(key)
-        if found:
-            out.append(read_ids(folder, r.name, r.width, found[0], found[1]))
-    return out
+class Lookup:
+    """Keyed access to all shards of a collected manifest."""
+
+    def __init__(self, manifest_rows, folder: str):
+        self.folder = folder
+        self.shards = sorted((r for r in manifest_rows if r.least is not None), key=lambda r: (r.part, r.shard))
+        self.greatest = [r.greatest for r in self.shards]
+
+    def find(self, key: int) -> list[np.ndarray]:
+        """The ids of each document ``key``: a bisection, then one probe and one read in its shard (more only where
+        rows that repeat a key run over shards)."""
+        out = []
+        for r in self.shards[bisect_left(self.greatest, key) :]:
+            if r.least > key:
+                break
+            found = read_index(self.folder, r.name).find(key)
+            if found:
+                ids, at = read_ids(self.folder, r.name, r.width, found[0], sum(found[1])), 0
+                for n in found[1]:
+                    out.append(ids[at : at + n])
+                    at += n
+        return out
 
 
 def tokenizer_path() -> str:

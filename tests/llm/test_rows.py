@@ -1,6 +1,7 @@
 """Line dedup, mixing, SimHash and token shards on small fixtures, against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -193,20 +194,59 @@ def test_token_shards(spark, tmp_path):
     assert [r[0] for r in got if r[0] is not None] == sorted(i for i, _, _ in rows if i is not None)
     parts = manifest.collect()
     assert len(parts) > 4
+    assert sorted(os.listdir(folder)) == sorted(r.name + end for r in parts for end in (".ids", ".keys", ".mph"))
+    for r in parts:  # keyed access needs the ids and the index alone
+        os.remove(f"{folder}/{r.name}.keys")
+    lookup = token_shards.Lookup(parts, folder)
     for i, x in ids:
         if i is not None and i != 2:
-            (found,) = token_shards.lookup(parts, folder, i)
+            (found,) = lookup.find(i)
             assert found.tolist() == x
-    assert [x.tolist() for x in token_shards.lookup(parts, folder, 2)] == [[*ids[1][1], *ids[2][1]]]
-    assert token_shards.lookup(parts, folder, 12345) == []
+    assert sorted(x.tolist() for x in lookup.find(2)) == sorted([ids[1][1], ids[2][1]])
+    assert lookup.find(12345) == [] and lookup.find(-1) == []
     assert token_shards.encode_table(spark, docs(spark, [])).count() == 0
 
 
 def test_index_is_minimal_and_perfect():
-    keys = list(range(0, 70000, 7))
-    index = token_shards.Index(token_shards.build_index(keys, [1] * len(keys), keys, [3] * len(keys), 2, 9))
-    assert index.n == len(keys) and all(index.find(k) == (k, 3, 1) for k in keys)
+    keys = list(range(-700, 70000, 7))
+    raw = token_shards.build_index([None, None, *keys, keys[-1]], [5, 1, *[3] * len(keys), 4], 2)
+    reads = []
+
+    def read(at, size):
+        reads.append(size)
+        return raw[at : at + size]
+
+    index = token_shards.Index(read)
+    reads.clear()
+    assert index.n == len(keys) and all(index.find(k) == (6 + 3 * i, [3]) for i, k in enumerate(keys[:-1]))
+    assert max(reads) <= 24 and len(reads) == 3 * (len(keys) - 1)  # a seed, a slot and a length each
+    assert index.find(keys[-1]) == (6 + 3 * (len(keys) - 1), [3, 4]) and index.lengths(0, 2).tolist() == [5, 1]
+    assert sorted(index.find_all(np.array(keys))["first"].tolist()) == list(range(2, 2 + len(keys)))
     assert sum(index.find(k) is not None for k in range(1, 70000, 7)) <= 1
+    empty = token_shards.build_index([], [], 2)
+    assert token_shards.Index(lambda at, size: empty[at : at + size]).find(1) is None
+
+
+def test_words_encode_alike_however_they_are_batched():
+    from tokenizers import Tokenizer
+
+    some = random.Random(3)
+    words = ["".join(some.choice("abcdefghijklmnopqrstuvwxyzäöüßéñÉŁ") for _ in range(some.randrange(1, 14))) for _ in range(3000)]
+    texts = [" ".join(some.choices(words, k=200)) for _ in range(40)]
+    signs = " \n\t.,'’sdtmlrev0159ab \u3000漢é×÷\u0301!-\"\x1c\x85\r"
+    texts += ["".join(some.choice(signs) for _ in range(some.randrange(60))) for _ in range(2000)] + ["x" * 3000 + " " * 700 + "y", "", "\n" * 300]
+    coder, plain = token_shards.Encoder(token_shards.tokenizer_path(), most=500), Tokenizer.from_file(token_shards.tokenizer_path())  # generations turn over
+    for at in range(0, len(texts), 7):
+        got = coder.encode(texts[at : at + 7])
+        assert [np.frombuffer(g, "<u2")[:-1].tolist() for g in got] == [e.ids for e in plain.encode_batch(texts[at : at + 7], add_special_tokens=False)]
+
+
+def test_hashes_of_pieces_do_not_depend_on_their_place():
+    hasher = token_shards.Hasher()
+    raw = b"ab" * 700_000 + b"z" * 400 + b"ab"
+    starts = np.append(np.arange(0, 1_400_000, 2), [1_400_000, 1_400_400])
+    found = hasher(np.frombuffer(raw, dtype=np.uint8), starts, np.diff(starts, append=len(raw)))
+    assert set(found[:-2].tolist()) == {int(found[-1])} and found[-2] == 0
 
 
 def test_near_copies_link_at_the_threshold_and_not_below(spark):
