@@ -7,20 +7,24 @@ finds all pieces in a document; the windows around the hits are verified with
 Myers' bit-parallel distance, a whole pattern to one integer.
 
 Texts and items are compared in lower case with runs of white space as one
-space; positions count code points of that form.  Test items travel to the
-tasks in groups of at most ``GROUP_CHARS`` characters, one pass over the
-documents a group, so no broadcast outgrows that bound however many items
-there are.
+space; positions count code points of that form.  Test items are read through
+the driver, which holds them all: a test set is written by people and has some
+megabytes, which this operator takes as its limit of scale.  They travel to the
+tasks in groups of at most ``GROUP_CHARS`` characters, so no automaton outgrows
+that bound; a group is one narrow pass over the documents.
 
 Definitions: null and blank items and documents match nothing.  An item of
 under 12 characters must appear unchanged and not inside a longer word.  Rows
 that repeat a ``doc_id`` or ``item_id`` each report their matches.  Of several
 places of an item in a document, the one of least distance counts, then the
-first.
+first.  Empty tables give no rows (``decontaminate``: all of ``docs``).  Further
+columns of ``docs`` stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -130,6 +134,27 @@ class Matcher:
                 out.append((key, *best))
         return out
 
+    def holds(self, text: str) -> bool:
+        """Whether ``matches`` would find any item."""
+        if self.empty or not text:
+            return False
+        for n, spans in self.windows(text).items():
+            _, item, edits = self.items[n]
+            if any(myers(item, text[a:z], edits) for a, z in spans) if edits else self.stands(item, text, spans):
+                return True
+        return False
+
+    @staticmethod
+    def stands(item: str, text: str, spans) -> bool:
+        """Whether a short item is a word or phrase of its own in one of the stretches."""
+        for a, z in spans:
+            at = text.find(item, a, z)
+            while at >= 0:
+                if not (at and text[at - 1].isalnum() and item[0].isalnum()) and not (item[-1].isalnum() and text[at + len(item) : at + len(item) + 1].isalnum()):
+                    return True
+                at = text.find(item, at + 1, z)
+        return False
+
 
 def _scan(items: list[tuple[int, str]]):
     def run(batches):
@@ -146,8 +171,8 @@ def _scan(items: list[tuple[int, str]]):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
-    """``(doc_id, item_id, distance, start, end)`` for every document and test item it holds within the budget."""
+def item_groups(benchmark: DataFrame, group_chars: int = GROUP_CHARS) -> list[list[tuple[int, str]]]:
+    """The test items in normal form, in groups of at most ``group_chars`` characters (or of one item)."""
     groups, held, size = [], [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         text = normalise(r["text"])
@@ -156,22 +181,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, group_chars: int = GROU
             held, size = [], 0
         held.append((r["item_id"], text))
         size += len(text)
-    groups.append(held)
+    return [*groups, held]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """``(doc_id, item_id, distance, start, end)`` for every document and test item it holds within the budget."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for g in groups:
-        some = texts.mapInArrow(_scan(g), _OUT)
-        out = some if out is None else out.union(some)
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a test item; rows without ``doc_id`` are judged by their text."""
-    named = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    key = F.xxhash64("doc_id", "text")
-    texts = named.select(key.alias("doc_id"), "text")
-    bad = contamination(texts, benchmark).select(F.col("doc_id").alias("bad")).distinct()
-    return named.join(bad, key == F.col("bad"), "left_anti").select("row.*")
+    return reduce(DataFrame.union, [texts.mapInArrow(_scan(g), _OUT) for g in item_groups(benchmark, group_chars)])
+
+
+def _without(items: list[tuple[int, str]], at: int):
+    def run(batches):
+        matcher = Matcher(items)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.holds(normalise(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """``docs`` without the rows whose text holds a test item; rows are judged where they lie, nothing is shuffled."""
+    for group in item_groups(benchmark, group_chars):
+        docs = docs.mapInArrow(_without(group, docs.columns.index("text")), docs.schema)
+    return docs
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
