@@ -5,10 +5,17 @@ document is emitted floor(rate) times plus one Bernoulli copy whose draw is a
 hash of the document, so reruns agree.
 
 Definitions: sources go by code point, null last, and weigh 3, 1, 2, repeating.
-Rows that repeat a ``doc_id`` and its text share a draw.  A source without
-words has target 0 and its documents are not taken.  The weight pattern needs
-a source's rank, found from a range sort of the source totals, so neither the
-number of sources nor that of documents is bounded.
+The draw is a hash of ``doc_id`` and text (a null one is empty), so only rows
+that repeat both share it.  A source without words has target 0 and its
+documents are not taken; null, empty and blank texts have size 0 and may still
+be taken.  An empty table has an empty mix.  The mix holds all columns of its
+input, whatever their names.
+
+The weight pattern needs a source's rank, found from a range sort of the source
+totals, so neither the number of sources nor that of documents is bounded.
+Targets are broadcast while they are few and short, which is counted first, so
+that documents stay where they are; beyond that both sides are shuffled and the
+skew join splits a hot source.
 """
 
 from __future__ import annotations
@@ -21,7 +28,8 @@ from . import common
 WEIGHTS = (3, 1, 2)
 SHARE_NUM, SHARE_DEN = 3, 2  # the mix holds 150 % of all words
 MOST = 2  # times a source's own words
-SEED = "mix-1:"
+SEED = "mix-2:"
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 4_000_000  # of all sources' names
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -67,10 +75,13 @@ def mix_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies``."""
     docs = sized(docs)
     targets = source_targets(docs)
+    rows, chars = targets.agg(F.count("*"), F.sum(F.length("source"))).first()
+    if rows <= BROADCAST_ROWS and (chars or 0) <= BROADCAST_CHARS:
+        targets = F.broadcast(targets)
     own, theirs = docs.alias("d"), targets.withColumnRenamed("source", "of").alias("t")
     met = own.join(theirs, F.col("d.source").eqNullSafe(F.col("t.of"))).drop("of")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     return met.withColumn("copies", (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
 
 
@@ -87,7 +98,7 @@ def op2_source_mix(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS of_text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM totals),
@@ -104,7 +115,7 @@ targets AS (SELECT l.source, l.source_size, least(l.w * one.level, CAST(2 * l.so
 drawn AS (
   SELECT s.*, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 2.0::DOUBLE) ELSE 0 END AS rate,
-         CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0::DOUBLE AS u
+         CAST(('0x' || substr(md5('mix-2:' || coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || s.of_text), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
