@@ -1,21 +1,24 @@
 """Secret scans: base patterns and a battery of randomness tests.
 
 Base spans come from three patterns.  The method adds spans of kind ``random``:
-runs of at least ``LEAST`` characters of [A-Za-z0-9+/_=-] that behave like the
-output of a random generator under the encoding inferred for them (hex, base32,
-base36, base62 or base64).  Three tests must not reject randomness:
+runs of at least ``LEAST`` characters of [A-Za-z0-9+/_-], with up to two ``=``
+behind them, that behave like the output of a random generator under the
+encoding inferred for them (hex, base32, base36, base62 or base64):
 
   chi-squared  symbols are uniform over the encoding's alphabet, binned so that
                a bin expects some symbols even in a short run
   runs         upper and lower halves of the alphabet alternate as chance has it
   serial       neighbouring symbols are uncorrelated
 
-Passing them isn't rare enough on its own among all runs of a corpus, so
-false discoveries are controlled: p is the chance that ordinary text yields a
-run that speaks as strongly for the uniform model, bounded by the inverse
-likelihood ratio of that model against a bigram model counted over all texts.
-Benjamini-Hochberg at ``RATE`` over the whole corpus, with weights that favour
-long runs, where the tests have power, and average 1, says which p count.
+Fisher's method combines the three into one chance F that a random run looks no
+more random; below ``ALPHA`` the run isn't one.  A fitting run isn't rare enough
+on its own among all runs of a corpus, so false discoveries are controlled: the
+chance that ordinary text yields a run that speaks as strongly for the uniform
+model is bounded by the inverse likelihood ratio of that model against a bigram
+model counted over all texts, and p is that bound divided by F, so that a run
+counts for less the worse the battery speaks of it.  Benjamini-Hochberg at
+``RATE`` over the whole corpus, with weights that favour long runs, where the
+tests have power, and average 1, says which p count.
 
 Texts are read once; what the second pass needs are the candidates and the
 bigram counts.  The driver sees the counts' sums (a table of fixed size) and a
@@ -23,7 +26,8 @@ histogram of p.
 
 Definitions: null texts are empty.  Positions are code points, ends exclusive.
 A random span that overlaps a base span isn't added.  Rows that repeat a
-``doc_id`` are scanned each by itself.
+``doc_id`` are scanned each by itself.  An empty table gives no rows; columns
+but ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST = 20
-ALPHA = 0.001  # of each test of the battery
+ALPHA = 0.001  # of the combined battery
 RATE = 0.01  # false discoveries among the spans added
 KINDS = ("assign", "access", "hex", "random")
 BINS = 400  # of -log10 p, a tenth each
@@ -49,7 +53,7 @@ BINS = 400  # of -log10 p, a tenth each
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST)
 
 # Alphabets of the encodings, in the order of their symbols' values.
 ALPHABETS = {
@@ -120,6 +124,16 @@ def battery(form: str, alphabet: str) -> tuple[float, float, float]:
     return _upper_chi2(chi, bins - 1), runs_p, _two_sided((serial + 1 / n) * math.sqrt(n))
 
 
+def fisher(chances: tuple[float, ...]) -> float:
+    """Fisher's combined chance of independent tests."""
+    x = -sum(math.log(max(p, 1e-300)) for p in chances)
+    term = total = 1.0
+    for i in range(1, len(chances)):
+        term *= x / i
+        total += term
+    return min(1.0, math.exp(-x) * total)
+
+
 # ---- the model of ordinary text: bigrams of 30 classes
 
 _CLASSES = 30  # a-z, any capital, any digit, other signs of a run, all else
@@ -147,11 +161,11 @@ def text_bits(counts: np.ndarray) -> np.ndarray:
     return np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def log_p(run: str, encoding: str, table: np.ndarray) -> float:
-    """Log of the bound on p: the log likelihood of ordinary text less that of uniform symbols, at most 0."""
+def log_p(run: str, encoding: str, fit: float, table: np.ndarray) -> float:
+    """Log of p: the log likelihood of ordinary text less that of uniform symbols and less log ``fit``, at most 0."""
     classes = _CLASS[np.frombuffer(run.encode(), dtype=np.uint8)].astype(int)
     plain = table[np.concatenate([[29], classes[:-1]]), classes].sum() - sum(math.log(_WITHIN.get(c, 1)) for c in classes.tolist())
-    return min(0.0, float(plain) + len(run) * math.log(len(ALPHABETS[encoding])))
+    return min(0.0, float(plain) + len(run) * math.log(len(ALPHABETS[encoding])) - math.log(fit))
 
 
 def length_weight(length: int) -> float:
@@ -159,7 +173,7 @@ def length_weight(length: int) -> float:
     return min(4.0, length / 32)
 
 
-_FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base array<struct<start:int,kind:int,end:int>>, runs array<struct<start:int,end:int,run:string,encoding:string>>, tally array<long>"
+_FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base array<struct<start:int,kind:int,end:int>>, runs array<struct<start:int,end:int,run:string,encoding:string,fit:double>>, tally array<long>"
 
 
 def _scan(batches):
@@ -179,8 +193,9 @@ def _scan(batches):
                 if any(s < m.end() and m.start() < e for s, _, e in base):
                     continue
                 found = infer_encoding(m[0])
-                if found and min(battery(found[1], ALPHABETS[found[0]])) >= ALPHA:
-                    runs.append({"start": m.start(), "end": m.end(), "run": m[0], "encoding": found[0]})
+                fit = fisher(battery(found[1], ALPHABETS[found[0]])) if found else 0.0
+                if fit >= ALPHA:
+                    runs.append({"start": m.start(), "end": m.end(), "run": m[0], "encoding": found[0], "fit": fit})
             rows.append((doc, kinds[0], kinds[1], kinds[2], [{"start": s, "kind": k, "end": e} for s, k, e in base], runs, None))
         rows.append((None, None, None, None, None, None, tally.tolist()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW)], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "runs", "tally"])
@@ -192,15 +207,20 @@ _ARROW = [
     pa.int64(),
     pa.int64(),
     pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])),
-    pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("run", pa.string()), ("encoding", pa.string())])),
+    pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("run", pa.string()), ("encoding", pa.string()), ("fit", pa.float64())])),
     pa.list_(pa.int64()),
 ]
 
 
+def step(run: str, encoding: str, fit: float, table: np.ndarray) -> int:
+    """The bin of a run's p."""
+    return int(min(BINS - 1, -10 * log_p(run, encoding, fit, table) / math.log(10)))
+
+
 def _bins(table: np.ndarray):
     def run(batches):
         for batch in batches:
-            rows = [(int(min(BINS - 1, -10 * log_p(r, e, table) / math.log(10))), len(r)) for r, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            rows = [(step(r, e, f, table), len(r)) for r, e, f in zip(*(batch.column(i).to_pylist() for i in range(3)))]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([min(n, 256) for _, n in rows], pa.int32())], names=["bin", "length"])
 
     return run
@@ -231,8 +251,8 @@ def _report(table: np.ndarray, cut: float, mean: float):
                 spans = [(s["start"], s["kind"], s["end"]) for s in base]
                 text = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
                 for r in runs:
-                    step = int(min(BINS - 1, -10 * log_p(r["run"], r["encoding"], table) / math.log(10)))
-                    if -step / 10 * math.log(10) - math.log(length_weight(min(len(r["run"]), 256)) / mean) <= cut:
+                    at = step(r["run"], r["encoding"], r["fit"], table)
+                    if -at / 10 * math.log(10) - math.log(length_weight(min(len(r["run"]), 256)) / mean) <= cut:
                         spans.append((r["start"], 3, r["end"]))
                 out.append((doc, a, b, c, hashlib.sha256(text.encode()).hexdigest(), ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))))
             columns = list(zip(*out)) or [[]] * 6
@@ -250,7 +270,7 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
         counts[r.cell] = r.n
     table = text_bits(counts)
     rows = found.where("tally is null")
-    runs = rows.select(F.explode("runs").alias("r")).select("r.run", "r.encoding").mapInArrow(_bins(table), "bin int, length int")
+    runs = rows.select(F.explode("runs").alias("r")).select("r.run", "r.encoding", "r.fit").mapInArrow(_bins(table), "bin int, length int")
     cut, mean = threshold([tuple(r) for r in runs.groupBy("bin", "length").count().collect()], rate)
     return rows.drop("tally").mapInArrow(_report(table, cut, mean), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
