@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is read clause by clause.  The first transducer writes one symbol per
+A text is read clause by clause.  A first transducer writes one symbol per
 word: I insult, H threat, Y target, N negation, R reported speech, Q a
-quotation mark, and nothing for other words but a gap count.  Which words are
-insults is learned from labelled texts: whole words and word beginnings, each
-with a weight.  The transducers for negation, reported speech and target are
-composed into one automaton over these symbols whose states say which of them
-are in force; it rewrites every I and H as a matched pattern:
+quotation mark, and a point for other words.  Which words are insults is learned
+from labelled texts: whole words and word beginnings, each with a weight.  Five
+small transducers read that tape: insult and threat mark their words, negation
+counts the words since one, reported speech knows whether a verb of saying came
+or quotation marks are open, and target knows whether one came (one that comes
+later is written beside the symbol by a pass from the end, since a transducer
+can't look ahead).  They are composed into one by a product over the states that
+can be reached; its marks give each I and H a pattern:
 
   plain       the word alone            aimed     at a target in the clause
   negated     within NEAR words of a negation
@@ -25,6 +28,8 @@ Definitions: null and empty texts have no match and score the model's base
 rate.  Rows that repeat a ``doc_id`` are scored alike if their texts are; of
 several labels of a ``doc_id`` the highest counts, null labels don't.  A row
 without ``doc_id`` counts as id '' for ``held_out`` and is never learned from.
+Empty tables give no rows, and without labels the built-in words score alone.
+Further columns stay as they are in ``clean`` and are ignored otherwise.
 """
 
 from __future__ import annotations
@@ -66,23 +71,58 @@ def _closed() -> dict[str, str]:
     return out | dict.fromkeys('"“”«»„', "Q")
 
 
-def _automaton() -> dict[tuple[int, str], tuple[int, str]]:
-    """The composed automaton: (state, symbol) to (state, tag).
+# A transducer: its first state, and a step from (state, symbol) to (state, mark).  A symbol is one of IHYNRQ. and
+# a plus if a target comes later in the clause.
+SYMBOLS = [c + later for c in "IHYNRQ." for later in ("", "+")]
 
-    A state is three flags: 1 a verb of saying came, 2 inside quotation marks,
-    4 a negation is near.  The tag tells how an I or H is read.
-    """
-    step = {}
-    for state in range(8):
-        said, inside, denied = state & 1, state & 2, state & 4
-        step[state, "R"] = (1 | inside | denied, "")
-        step[state, "Q"] = (said | (inside ^ 2) | denied, "")
-        step[state, "N"] = (said | inside | 4, "")
-        step[state, "Y"] = (state, "")
-        step[state, "far"] = (said | inside, "")
-        for x in "IH":
-            step[state, x] = (state, "reported" if inside or said else "negated" if denied else "plain")
-    return step
+
+def _marker(symbol: str, mark: str):
+    return 0, lambda state, x: (0, mark if x[0] == symbol else "")
+
+
+def _negation(near: int):
+    """The state counts down the words in which a negation is in force."""
+    return 0, lambda state, x: (near if x[0] == "N" else max(0, state - 1), "negated" if state else "")
+
+
+def _reported():
+    """The state holds whether a verb of saying came (1) and whether quotation marks are open (2)."""
+    return 0, lambda state, x: (state | 1 if x[0] == "R" else state ^ 2 if x[0] == "Q" else state, "reported" if state else "")
+
+
+def _target():
+    return 0, lambda state, x: (1 if x[0] == "Y" else state, "aimed" if state or x[-1] == "+" else "")
+
+
+def compose(machines: list) -> dict[tuple, tuple]:
+    """The product of transducers: (states, symbol) to (states, set of marks), for the states that can be reached."""
+    first = tuple(m[0] for m in machines)
+    out, todo = {}, [first]
+    while todo:
+        states = todo.pop()
+        for x in SYMBOLS:
+            if (states, x) not in out:
+                found = [m[1](state, x) for state, m in zip(states, machines)]
+                then = tuple(f[0] for f in found)
+                out[states, x] = then, frozenset(f[1] for f in found) - {""}
+                todo.append(then)
+    return out
+
+
+def pattern(marks: frozenset) -> str:
+    """The pattern of a word's marks, "" for no match."""
+    if "threat" in marks and "aimed" not in marks or not marks & {"threat", "insult"}:
+        return ""
+    for mark in ("reported", "negated", "threat", "aimed"):
+        if mark in marks:
+            return mark
+    return "plain"
+
+
+def _automaton() -> tuple[tuple, dict[tuple, tuple]]:
+    """The composed automaton's first state and its steps, with patterns in the place of marks."""
+    machines = [_marker("I", "insult"), _marker("H", "threat"), _negation(NEAR), _reported(), _target()]
+    return tuple(m[0] for m in machines), {at: (then, pattern(marks)) for at, (then, marks) in compose(machines).items()}
 
 
 class Grammar:
@@ -91,7 +131,7 @@ class Grammar:
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
         self.threats = set(THREATS.split())
-        self.closed, self.step = _closed(), _automaton()
+        self.closed, (self.first, self.step) = _closed(), _automaton()
         self.finder = ahocorasick.Automaton()
         for w in {*words, *stems, *self.threats}:
             self.finder.add_word(w, len(w))
@@ -120,20 +160,13 @@ class Grammar:
     def read(self, clause: str) -> list[tuple[str, float, int, int]]:
         """``(pattern, weight, start, end)`` of the clause's matches."""
         words = [(m[0].replace("’", "'"), m.start(), m.end()) for m in _WORD.finditer(clause)]
-        tape = [self.closed.get(w) or ("H" if w in self.threats else "I" if self.weight(w) > 0 else "") for w, _, _ in words]
-        aimed = "Y" in tape
-        state, denied_at, out = 0, -99, []
+        tape = [self.closed.get(w) or ("H" if w in self.threats else "I" if self.weight(w) > 0 else ".") for w, _, _ in words]
+        last = max((i for i, x in enumerate(tape) if x == "Y"), default=-1)
+        state, out = self.first, []
         for i, symbol in enumerate(tape):
-            if state & 4 and i - denied_at > NEAR:
-                state = self.step[state, "far"][0]
-            if not symbol:
-                continue
-            state, tag = self.step[state, symbol]
-            if symbol == "N":
-                denied_at = i
-            if symbol == "I" or symbol == "H" and aimed:
-                tag = ("threat" if symbol == "H" else "aimed" if aimed else "plain") if tag == "plain" else tag
-                out.append((tag, self.weight(words[i][0]) if symbol == "I" else 1.0, words[i][1], words[i][2]))
+            state, found = self.step[state, symbol + "+" if i < last else symbol]
+            if found:
+                out.append((found, self.weight(words[i][0]) if symbol == "I" else 1.0, words[i][1], words[i][2]))
         return out
 
     def matches(self, text: str | None) -> list[tuple[str, float, int, int]]:
@@ -236,14 +269,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
     some = known.where(place < int((1 << 30) * min(1.0, sample / max(many, 1))))
     rows = docs.select("doc_id", "text").join(some.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of")).select("text", F.col("toxic").cast("int").alias("toxic"))
-    # Copies would count one author's words many times: of texts that share their least shingle one stays.
-    return rows.mapInArrow(_keyed, "text string, toxic int, least long").groupBy("least", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    # Copies would count one author's words many times: of texts that share the least shingles of two orders one stays.
+    return rows.mapInArrow(_keyed, "text string, toxic int, least long, other long").groupBy("least", "other", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _keyed(batches):
     for batch in batches:
-        least = [int(simhash.shingle_hashes((t or "").encode(), 4, 1).min(initial=(1 << 63) - 1)) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x & (1 << 63) - 1 for x in least], pa.int64())], names=["text", "toxic", "least"])
+        hashes = [simhash.shingle_hashes((t or "").encode(), 4, 1) for t in batch.column(0).to_pylist()]
+        orders = [np.array([simhash.remixed(h, take).min(initial=np.uint64(0xFFFFFFFFFFFFFFFF)) for h in hashes], dtype=np.uint64).view(np.int64) for take in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, orders)], names=["text", "toxic", "least", "other"])
 
 
 def _features(words, stems):
