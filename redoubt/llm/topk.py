@@ -1,20 +1,24 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors are dealt to blocks of at most about ``BLOCK`` rows: by the nearest of
-a few pivots, and a pivot's rows by a hash where there are too many.  Each block
-becomes a cover tree; the queries are dealt and indexed the same way.  A node
-holds a centre, its covering radius, and children whose centres are farthest
-points of each other, so they cover the node at a smaller radius and stand at
-least that radius apart.
-
-Every block of queries meets every block of data once: blocks of data fall
-into slots, blocks of queries into bundles, and each (slot, bundle) is a task.  A pair of nodes is
-pruned when the largest inner product that its centres c, d and radii r, s allow,
+Vectors are dealt to blocks of about ``BLOCK`` rows: by the nearest of a few
+pivots, and a pivot's rows evenly where there are too many.  Each block becomes
+a cover tree; the queries are dealt and indexed the same way.  A node holds a
+centre, its covering radius, and children whose centres are farthest points of
+each other, so they cover the node at a smaller radius and stand at least that
+radius apart.  Levels aren't tied to powers of a base: in many dimensions a
+halved radius needs a child a row, so a node has at most ``FANOUT`` children.
+
+A pair of nodes with centres c, d and radii r, s is pruned when the largest
+inner product that these allow,
   c.d + |c| s + |d| r + r s,
 is below the worst kth score of the query node's queries.  Those scores start
-from ``SAMPLE`` data rows that every task holds, so pruning bites from the first
-block on.  Node pairs go best bound first; leaves are compared by one matrix
-product.  Ties with the kth score are kept to the end, where smaller ids win.
+from ``SAMPLE`` data rows that every task holds.  Whole blocks are pruned first,
+by their root nodes alone: the centres of the data blocks, of which there are at
+most about twice ``BALLS`` since blocks grow beyond that, go to all tasks, and
+only pairs of blocks that are left are brought together.  Blocks of data fall
+into slots, blocks of queries into bundles; each (slot, bundle) is a task.  In it
+node pairs go best bound first and leaves are compared by one matrix product.
+Ties with the kth score are kept to the end, where smaller ids win.
 
 Scores are exact: whole numbers in float32, float64 or Python integers,
 whichever holds the largest possible product.  Inner products beyond 64 bits
@@ -24,7 +28,10 @@ Definitions: a component x counts as floor(64 x).  Vectors that are null or hold
 a null or non-finite component, and rows without ``vec_id``, take no part; the
 shorter of two vectors counts as ending in zeros.  A query's own ``vec_id`` is
 never its candidate.  Rows that repeat a ``vec_id`` are each a candidate; if they
-repeat a query's vector too, the query is answered once.
+repeat a query's vector too, the query is answered once.  Copies of a row are
+dealt evenly among a pivot's blocks.  A block is held in memory whole, so very
+long vectors need smaller blocks.  Empty tables give no rows; columns but
+``vec_id`` and ``embedding`` are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +48,7 @@ from . import common
 
 BLOCK, QUERY_BLOCK, BUNDLE = 8192, 2048, 16
 SAMPLE = 2048
+BALLS = 16_384
 LEAF, FANOUT = 128, 12
 
 
@@ -206,14 +214,36 @@ def _pack(key, table):
     by = np.lexsort((*m.T, ids)) if m.shape[1] else np.argsort(ids, kind="stable")
     m, ids = m[by], ids[by]
     small = m.astype(np.int16) if np.abs(m).max(initial=0) < 1 << 15 else m
-    return pa.table({"block": pa.array([key[0].as_py()], pa.string()), "pack": pa.array([pickle.dumps((ids, small, Tree(m)), 5)], pa.binary())})
+    tree = Tree(m)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.string()), "centre": pa.array([tree.centres[0].tolist()], pa.list_(pa.float64())), "radius": pa.array([float(tree.radii[0])]), "pack": pa.array([pickle.dumps((ids, small, tree), 5)], pa.binary())})
 
 
 def blocks(rows: DataFrame, size: int, mark: str) -> DataFrame:
-    """``(block, pack)`` of ``rows(vec_id, v, cell)``, each of about ``size`` rows at most."""
+    """``(block, centre, radius, pack)`` of the settled ``rows(vec_id, v, cell)``, each of about ``size`` rows at most."""
     counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("subs"))
-    named = rows.join(counts, "cell").withColumn("block", F.concat_ws("-", F.lit(mark), "cell", F.pmod(F.xxhash64("vec_id", "v"), "subs")))
-    return named.select("block", "vec_id", "v").groupBy("block").applyInArrow(_pack, "block string, pack binary")
+    place = F.xxhash64("vec_id", F.monotonically_increasing_id())  # settled rows keep it
+    named = rows.withColumn("place", place).join(counts, "cell").withColumn("block", F.concat_ws("-", F.lit(mark), "cell", F.pmod("place", "subs")))
+    return named.select("block", "vec_id", "v").groupBy("block").applyInArrow(_pack, "block string, centre array<double>, radius double, pack binary")
+
+
+def _promising(balls: list, sample_ids: np.ndarray, sample: np.ndarray, k: int):
+    """Pairs of a block of queries and a block of data whose root nodes aren't pruned."""
+
+    def run(batches):
+        width = max([sample.shape[1], *(len(c) for _, c, _ in balls)])
+        centres = padded(np.array([c + [0.0] * (width - len(c)) for _, c, _ in balls]).reshape(len(balls), width), width)
+        radii, norms, names = np.array([r for _, _, r in balls]), np.sqrt((centres**2).sum(axis=1)), np.array([b for b, _, _ in balls])
+        for batch in batches:
+            for block, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                q_ids, qm, tree = pickle.loads(pack)
+                full = max(width, qm.shape[1])
+                floor = floors(padded(qm, full), q_ids, padded(sample, full), sample_ids, k).min()
+                c, r = padded(tree.centres[:1], full)[0], tree.radii[0]
+                bound = centres @ c[:width] + tree.norms[0] * radii + norms * r + r * radii
+                near = names[bound + 1e-9 * (np.abs(bound) + 1) >= floor]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(near), pa.string()), pa.array(near.tolist(), pa.string())], names=["q", "d"])
+
+    return run
 
 
 def _meet(sample_ids: np.ndarray, sample: np.ndarray, k: int):
@@ -266,21 +296,24 @@ def floors(qm: np.ndarray, q_ids: np.ndarray, sample: np.ndarray, sample_ids: np
 def top_k(data: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, query_block: int = QUERY_BLOCK, sample: int = SAMPLE) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of usable rows ``(vec_id, v)``."""
     n = data.count()
+    block = max(block, -(-n // BALLS))
     schema = "query_id long, query_key long, vec_id long, score long"
     # A bounded sample by hash: pivots, and the floors of the kth scores.
     picked = sorted((r.vec_id, tuple(r.v)) for r in data.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1)))).collect())
     sample_ids, seen = np.array([r[0] for r in picked], dtype=np.int64), quantised([r[1] for r in picked])
     pivots = seen[:: max(1, len(seen) // max(1, min(len(seen), -(-n // block))))]
     dealt = common.checkpoint(data.mapInArrow(_cells(pivots), "vec_id long, v array<double>, cell int"))
-    asked = queries.mapInArrow(_cells(pivots), "vec_id long, v array<double>, cell int").dropDuplicates(["vec_id", "v"])
+    asked = common.checkpoint(queries.mapInArrow(_cells(pivots), "vec_id long, v array<double>, cell int").dropDuplicates(["vec_id", "v"]))
     d_blocks, q_blocks = common.checkpoint(blocks(dealt, block, "d")), common.checkpoint(blocks(asked, query_block, "q"))
     bundles, slots = max(1, -(-q_blocks.count() // BUNDLE)), max(1, -(-n // block))
+    balls = sorted((r.block, list(r.centre), r.radius) for r in d_blocks.select("block", "centre", "radius").collect())  # some BALLS rows
+    pairs = common.checkpoint(q_blocks.select("block", "pack").mapInArrow(_promising(balls, sample_ids, seen, k), "q string, d string"))
 
-    def numbers(m: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    def among(column: str, n: int):
+        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
-    left = d_blocks.select(F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("slot"), "pack").withColumn("bundle", numbers(bundles))
-    right = q_blocks.select(F.pmod(F.xxhash64("block"), F.lit(bundles)).cast("int").alias("bundle"), "pack").withColumn("slot", numbers(slots))
+    left = d_blocks.join(pairs.select(F.col("d").alias("block"), among("q", bundles).alias("bundle")).distinct(), "block").select(among("block", slots).alias("slot"), "bundle", "pack")
+    right = q_blocks.join(pairs.select(F.col("q").alias("block"), among("d", slots).alias("slot")).distinct(), "block").select(among("block", bundles).alias("bundle"), "slot", "pack")
     met = left.groupBy("slot", "bundle").cogroup(right.groupBy("slot", "bundle")).applyInArrow(_meet(sample_ids, seen, k), schema)
     place = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
