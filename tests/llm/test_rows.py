@@ -112,6 +112,17 @@ def components_by_hand(fps, radius):
     return {f: find(f) for f in every}
 
 
+def test_rows_without_id_draw_by_text(spark):
+    rows = [(None, f"w {i} x", "a") for i in range(1000)] + [(7, f"v {i} y", "b") for i in range(1000)] + [(i, "z z z", "c") for i in range(1000)]
+    out = mixing.mix_counts(docs(spark, rows).select("doc_id", "text", "source")).collect()
+    for source in "abc":
+        own = [r for r in out if r.source == source]
+        taken, target = sum(r.size * r.copies for r in own), own[0].target
+        assert abs(taken - target) < 0.06 * target + 6
+    twice = mixing.mix_counts(docs(spark, [(1, "same", "a")] * 50 + [(2, "o", "b")]).select("doc_id", "text", "source")).where("doc_id = 1").collect()
+    assert len({r.copies for r in twice}) == 1
+
+
 def test_fingerprint():
     for t in ("", None, "a b", "One two  THREE\tfour\x0bfive six seven", "x " * 70000, "a b c d"):
         assert simhash.fingerprint((t or "").encode()) == fp_by_hand(t)
