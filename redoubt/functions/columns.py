@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .checks import IBAN_LENGTHS, ISSUERS, PLACEHOLDER, VOID_NINO, VOID_SSN
+from .checks import IBAN_LENGTHS, ISSUERS, PLACEHOLDER, SEPARATORS, VOID_NINO, VOID_SSN
 
-SEPARATORS = r"[\s.\-‐-―]+"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -35,11 +34,11 @@ def card_brand(digits: Column) -> Column:
 
 def iban(c: Column) -> Column:
     v = F.upper(strip_separators(c))
-    length = F.element_at(F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv]), F.substring(v, 1, 2))
+    length = F.try_element_at(F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv]), F.substring(v, 1, 2))
     moved = F.concat(F.substring(v, 5, 64), F.substring(v, 1, 4))
     value = lambda ch: F.conv(ch, 36, 10).cast("int")
     rest = F.aggregate(F.filter(F.split(moved, ""), lambda x: x != ""), F.lit(0), lambda a, ch: (F.when(value(ch) > 9, a * 100).otherwise(a * 10) + value(ch)) % 97)
-    return v.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$") & F.coalesce(length == F.length(v), F.lit(False)) & (rest == 1)
+    return v.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}$") & F.coalesce(length == F.length(v), F.lit(True)) & (rest == 1)
 
 
 def us_ssn(c: Column) -> Column:
@@ -133,13 +132,15 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """``array<struct<start,end,value>>`` of all matches of a Java expression.
 
     Each match is set between marks, the text is cut at the marks, and a fold
-    over the pieces adds up their lengths.  Texts that hold a mark themselves
-    have it replaced by a space, which keeps all offsets.
+    over the pieces adds up their lengths; it copies the matches so far at each
+    one, which is meant for texts of some thousand.  The marks are noncharacters
+    of Unicode, which interchanged text doesn't hold; where one does, a space
+    stands in its place, which keeps all offsets.
     """
-    a, b, c = "\u0001", "\u0002", "\u0003"
+    a, b, c = "\ufdd0", "\ufdd1", "\ufdd2"
     clean = F.translate(text, a + b + c, "   ")
     marked = F.regexp_replace(clean, pattern, f"{a}$0{c}${group}{b}")
-    pieces = F.split(marked, "[\u0001\u0002]", -1)
+    pieces = F.split(marked, f"[{a}{b}]", -1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def step(acc, piece):
@@ -156,6 +157,20 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
 
 
+def text_at(text: Column, start: Column, end: Column) -> Column:
+    """The characters of a span."""
+    return F.substring(text, start + 1, end - start)
+
+
+def rect_for(glyphs: Column, bbox: Column, start: Column, end: Column) -> Column:
+    """The box of a span: the union of its glyphs' boxes, one a character, or the node's box where it has none."""
+    own = F.slice(glyphs, start + 1, F.greatest(end - start, F.lit(0)))
+    # Folded as edges, since a union of boxes is least and greatest of each edge.
+    first = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in (("x0", float("inf")), ("y0", float("inf")), ("x1", float("-inf")), ("y1", float("-inf")))])
+    edges = F.aggregate(own, first, lambda e, g: F.struct(F.least(e["x0"], g["x"]).alias("x0"), F.least(e["y0"], g["y"]).alias("y0"), F.greatest(e["x1"], rect_right(g)).alias("x1"), F.greatest(e["y1"], rect_bottom(g)).alias("y1")))
+    return F.when(F.coalesce(F.size(own), F.lit(0)) > 0, rect(edges["x0"], edges["y0"], edges["x1"] - edges["x0"], edges["y1"] - edges["y0"])).otherwise(bbox)
+
+
 def utf16_offset(text: Column, offset: Column) -> Column:
     """An offset in code points as one in UTF-16 units, for systems that count those."""
     return offset + F.regexp_count(F.substring(text, F.lit(1), offset), F.lit("[\\x{10000}-\\x{10FFFF}]"))
@@ -267,6 +282,20 @@ def rect_snap(a: Column) -> Column:
     return rect(x, y, F.ceil(a["x"] + a["width"]) - x, F.ceil(a["y"] + a["height"]) - y)
 
 
+def rect_right(a: Column) -> Column:
+    return a["x"] + a["width"]
+
+
+def rect_bottom(a: Column) -> Column:
+    return a["y"] + a["height"]
+
+
+def rect_from_points(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The rectangle with these opposite corners, in any order."""
+    x, y = F.least(x0, x1), F.least(y0, y1)
+    return rect(x, y, F.greatest(x0, x1) - x, F.greatest(y0, y1) - y)
+
+
 def rect_area(a: Column) -> Column:
     return a["width"] * a["height"]
 

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import RedactionError
 from ..plans import lattice
 from ..plans.policies import Mosaic, Policy, PolicyRule
 from ..session import settle
 
+DOUBLINGS = 32
 PORTION_ROLES = ("paragraph", "heading", "title", "list-item", "table-cell", "caption", "footnote", "section", "header", "footer", "page")
 
 
@@ -26,26 +28,26 @@ def type_matches(types: tuple[str, ...], c: Column | None = None) -> Column:
     return reduce(lambda a, b: a | b, (F.startswith(c, F.lit(t[:-1])) if t.endswith(".*") else c == t for t in types), F.lit(False))
 
 
-def portions_of(nodes: DataFrame, roles: tuple[str, ...] = PORTION_ROLES, depth: int = 32) -> DataFrame:
+def portions_of(nodes: DataFrame, roles: tuple[str, ...] = PORTION_ROLES) -> DataFrame:
     """``(doc_id, node_id, portion, role, portion_ord)``: the nearest node upwards with a portion role, else the node itself.
 
-    Parents are followed by self-joins for as long as a node still climbs."""
+    A round doubles the steps that every node has climbed, so a tree of any depth takes its logarithm of rounds; nodes
+    that still climb after 2^``DOUBLINGS`` steps are each other's parents, which raises."""
     tree = nodes.select("doc_id", "node_id", "parent", "role", "ord")
-    up = tree.select(F.col("doc_id").alias("u_doc"), F.col("node_id").alias("u_node"), F.col("parent").alias("u_parent"), F.col("role").alias("u_role"), F.col("ord").alias("u_ord"))
     has_role = F.coalesce(F.col("role").isin(*roles), F.lit(False))
     now = tree.select(
         "doc_id", "node_id", F.when(has_role, F.col("node_id")).alias("portion"), F.when(has_role, F.col("role")).alias("p_role"), F.when(has_role, F.col("ord")).alias("p_ord"), F.when(~has_role, F.col("parent")).alias("climb")
     )
     if not nodes.where("parent is not null").isEmpty():
-        for _ in range(depth):
+        now = settle(now)
+        for _ in range(DOUBLINGS):
             if now.where("climb is not null").isEmpty():
                 break
+            up = now.toDF("u_doc", "u_node", "u_portion", "u_role", "u_ord", "u_climb")
             met = now.join(up, (F.col("doc_id") == F.col("u_doc")) & (F.col("climb") == F.col("u_node")), "left")
-            found = F.coalesce(F.col("u_role").isin(*roles), F.lit(False))
-            now = met.select(
-                "doc_id", "node_id", F.coalesce("portion", F.when(found, F.col("u_node"))).alias("portion"), F.coalesce("p_role", F.when(found, F.col("u_role"))).alias("p_role"),
-                F.coalesce("p_ord", F.when(found, F.col("u_ord"))).alias("p_ord"), F.when(~found, F.col("u_parent")).alias("climb"),
-            )
+            now = settle(met.select("doc_id", "node_id", F.coalesce("portion", "u_portion").alias("portion"), F.coalesce("p_role", "u_role").alias("p_role"), F.coalesce("p_ord", "u_ord").alias("p_ord"), F.col("u_climb").alias("climb")))
+        else:
+            raise RedactionError("E_PARSE", "nodes are each other's parents")
     own = tree.select(F.col("doc_id").alias("o_doc"), F.col("node_id").alias("o_node"), F.col("role").alias("o_role"), F.col("ord").alias("o_ord"))
     met = now.join(own, (F.col("doc_id") == F.col("o_doc")) & (F.col("node_id") == F.col("o_node")))
     return met.select("doc_id", "node_id", F.coalesce("portion", "node_id").alias("portion"), F.coalesce("p_role", "o_role").alias("portion_role"), F.coalesce("p_ord", "o_ord").alias("portion_ord"))

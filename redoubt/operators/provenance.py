@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import RedactionError
+from .redact import digests
 
 ZERO = "0" * 64
 LEAST_SALT = 16
@@ -90,11 +91,11 @@ def verify_chain(entries: DataFrame) -> DataFrame:
 def manifests(entries: DataFrame, documents: DataFrame, report: DataFrame, policy, source: DataFrame, output: DataFrame, engine: str = "redoubt", sign=None, **issued) -> DataFrame:
     """One row a document: the summary as canonical JSON, the root over it and the chain's tail, and a signature if ``sign(bytes)`` is given.
 
-    ``source`` and ``output`` are nodes; their digests are over the texts in order."""
-    digest = lambda nodes, name: nodes.groupBy("doc_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("ord", "node_id", "text")))), 256).alias(name))
+    ``source`` and ``output`` are nodes; their digests are over the texts in order.  A document counts as verified only if its
+    report says so and the verification wasn't degraded; one without a report isn't."""
     tail = entries.groupBy("doc_id").agg(F.max_by("hash", "seq").alias("tail"), F.count("*").alias("operations_listed"))
-    met = documents.select("doc_id", "banner").join(tail, "doc_id", "left").join(report.select("doc_id", "passed", "unverifiable", "defensible"), "doc_id", "left")
-    met = met.join(digest(source, "source_digest"), "doc_id", "left").join(digest(output, "output_digest"), "doc_id", "left")
+    met = documents.select("doc_id", "banner").join(tail, "doc_id", "left").join(report.select("doc_id", "passed", "degraded", "unverifiable", "defensible"), "doc_id", "left")
+    met = met.join(digests(source, "source_digest"), "doc_id", "left").join(digests(output, "output_digest"), "doc_id", "left")
     policy_digest = _hash([policy.id, policy.version, [x.id for x in policy.levels], [[r.id, list(r.types), r.level] for r in policy.rules]])
 
     def close(batches):
@@ -103,7 +104,7 @@ def manifests(entries: DataFrame, documents: DataFrame, report: DataFrame, polic
             for r in batch.to_pylist():
                 summary = {
                     "engine": engine, "policy_id": policy.id, "policy_version": policy.version, "policy_digest": policy_digest, "banner": r["banner"], "operation_count": r["operations_listed"] or 0,
-                    "verified": r["passed"] is not False, "unverified_count": r["unverifiable"] or 0, "source_digest": r["source_digest"], "output_digest": r["output_digest"], **issued,
+                    "verified": r["passed"] is True and r["degraded"] is False, "unverified_count": r["unverifiable"] or 0, "source_digest": r["source_digest"], "output_digest": r["output_digest"], **issued,
                 }
                 root = _hash({"summary": summary, "tail": r["tail"] or ZERO})
                 out.append((r["doc_id"], canonical(summary), r["tail"] or ZERO, root, sign(bytes.fromhex(root)).hex() if sign else None))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import RedactionError
 from ..functions import columns as C
 from ..session import settle
+from . import search
 
 MARKER = "[REDACTED]"
 
@@ -130,6 +132,9 @@ class PlanOptions:
     allow_recoverable: bool = False
     reason: tuple[str, str] = ("policy.sensitive-content", "Policy determination")
     reasons_by_type: dict[str, tuple[str, str]] = field(default_factory=dict)
+    #: Of the columns of a finding: the text of a replacement, and code and authority of a reason; null leaves the rest to decide.
+    replacement_text: Callable[[], Column] | None = None
+    reason_for: Callable[[], tuple[Column, Column]] | None = None
 
 
 def _by_type(table: dict[str, str]) -> Column:
@@ -192,15 +197,19 @@ def plan(nodes: DataFrame, sure: DataFrame, portions: DataFrame, options: PlanOp
     f = f.withColumn("error", F.when(illegal, F.concat(F.lit("E_UNSUPPORTED: "), "strategy", F.lit(" on a "), "loc_kind")))
     token = pseudonyms(options.key)("type", "value", "normalized") if options.key else F.lit(None).cast("string")
     text = (
-        F.when(F.col("strategy") == "replace", F.lit(options.marker)).when(F.col("strategy") == "pseudonymize", token).when(F.col("strategy") == "mask", C.mask_value(F.col("value"), options.keep, options.keep_side)).when(F.col("strategy") == "synthesize", synthesize())
+        F.when(F.col("strategy") == "replace", F.coalesce(options.replacement_text() if options.replacement_text else F.lit(None).cast("string"), F.lit(options.marker))).when(F.col("strategy") == "pseudonymize", token).when(F.col("strategy") == "mask", C.mask_value(F.col("value"), options.keep, options.keep_side)).when(F.col("strategy") == "synthesize", synthesize())
     )
     code, authority = F.lit(options.reason[0]), F.lit(options.reason[1])
     for kind, (c, a) in options.reasons_by_type.items():
         code, authority = F.when(type_like(kind), c).otherwise(code), F.when(type_like(kind), a).otherwise(authority)
     manual = F.startswith("rule_id", F.lit("manual:"))
+    code, authority = F.when(manual, "operator.marked").otherwise(code), F.when(manual, "Marked by the operator who reviewed the document").otherwise(authority)
+    if options.reason_for:
+        own_code, own_authority = options.reason_for()
+        code, authority = F.coalesce(own_code, code), F.coalesce(own_authority, authority)
     ops = f.select(
         "doc_id", C.content_id("op_", F.col("id"), F.col("strategy")).alias("op_id"), "loc_kind", "node_id", "start", "end", "location", "strategy", text.alias("replacement"),
-        F.when(manual, "operator.marked").otherwise(code).alias("reason_code"), F.when(manual, "Marked by the operator who reviewed the document").otherwise(authority).alias("authority"),
+        code.alias("reason_code"), authority.alias("authority"),
         F.array("id").alias("finding_ids"), F.col("value").alias("original"), "error",
     )
     return merge_overlapping(ops, nodes), retained
@@ -252,6 +261,25 @@ def merge_overlapping(ops: DataFrame, nodes: DataFrame) -> DataFrame:
     return one.unionByName(fused).unionByName(ops.where("loc_kind <> 'text'"))
 
 
+def digests(nodes: DataFrame, name: str = "digest") -> DataFrame:
+    """``(doc_id, digest)`` over a document's nodes: each node's text is hashed where it lies, the hashes in order once more."""
+    own = nodes.select("doc_id", F.struct("ord", "node_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("of_text"), F.col("text").isNull().alias("none")).alias("n"))
+    return own.groupBy("doc_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("n"))), 256).alias(name))
+
+
+def plans(ops: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(doc_id, plan_id, source_digest, operations)``: a plan's name follows from its operations and the document it was made for."""
+    listed = ops.groupBy("doc_id").agg(F.array_sort(F.collect_list("op_id")).alias("ids"))
+    met = digests(nodes, "source_digest").join(listed, "doc_id")
+    return met.select("doc_id", C.content_id("plan_", F.col("source_digest"), F.array_join("ids", " ")).alias("plan_id"), "source_digest", F.size("ids").cast("long").alias("operations"))
+
+
+def stale(made: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(doc_id, plan_id, error)`` of ``plans`` whose document isn't the one in ``nodes`` any more."""
+    met = made.join(digests(nodes, "now"), "doc_id", "left").where(~F.col("now").eqNullSafe(F.col("source_digest")))
+    return met.select("doc_id", "plan_id", F.lit("E_DIGEST").alias("error"))
+
+
 def validate(ops: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(doc_id, op_id, error)``: targets that don't exist, spans beyond their text, illegal strategies, overlaps."""
     target = nodes.select(F.col("doc_id").alias("t_doc"), F.col("node_id").alias("t_node"), F.length("text").alias("n"))
@@ -299,12 +327,12 @@ def map_offset(offset: Column, ops: Column) -> Column:
 # ---- verifying
 
 
-def verify(ops: DataFrame, retained: DataFrame, output: DataFrame, short: int = 4, degraded: bool = False) -> dict[str, DataFrame]:
-    """``leaks``, ``unverifiable`` and one ``report`` row per document with operations.
+def verify(ops: DataFrame, retained: DataFrame, output: DataFrame, short: int = 4, degraded: bool = False, documents: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``leaks``, ``unverifiable`` and one ``report`` row per document with operations, or per one of ``documents``.
 
-    Every promised removal is searched in every text of the output document: an
-    equi-join on the document, then a count of occurrences; more than the
-    retained copies is a leak."""
+    Every promised removal is searched in every text of the output document:
+    each distinct value once, all of a document's values in one pass over a
+    text; more occurrences than the retained copies are a leak."""
     spec = {s.id: s.recovery for s in STRATEGIES.values()}
     recovery = F.element_at(F.create_map(*[F.lit(x) for kv in spec.items() for x in kv]), F.col("strategy"))
     o = ops.withColumn("recovery", recovery)
@@ -319,9 +347,11 @@ def verify(ops: DataFrame, retained: DataFrame, output: DataFrame, short: int =
     allowed = retained.select(F.col("doc_id").alias("k_doc"), F.col("key").alias("k_key"), F.col("n").alias("allowed"))
     sought = gone.where(reason.isNull()).select("doc_id", "op_id", "original", C.search_key(F.col("original")).alias("needle"), C.retain_key(F.col("original")).alias("r_key")).where("needle <> ''")
     sought = sought.join(allowed, (F.col("doc_id") == F.col("k_doc")) & (F.col("r_key") == F.col("k_key")), "left")
-    texts = nodes.where("length(text) > 0").withColumn("hay", C.search_key(F.col("text")))
-    met = sought.join(texts, (F.col("doc_id") == F.col("n_doc")) & F.contains("hay", F.col("needle")))
-    met = met.withColumn("seen", C.occurrences(F.col("hay"), F.col("needle"), F.length(F.trim("original")) < short)).where("seen > 0")
+    sought = sought.withColumn("whole", F.length(F.trim("original")) < short)
+    texts = nodes.where("length(text) > 0").select("n_doc", "n_node", C.search_key(F.col("text")).alias("hay"))
+    seen = search.counts(texts.toDF("doc_id", "node_id", "hay"), sought.select("doc_id", "needle", "whole")).toDF("s_doc", "n_node", "s_needle", "s_whole", "seen")
+    same = (F.col("doc_id") == F.col("s_doc")) & (F.col("needle") == F.col("s_needle")) & (F.col("whole") == F.col("s_whole"))
+    met = sought.join(seen, same).join(nodes.select(F.col("n_doc").alias("t_doc"), F.col("n_node").alias("t_node"), "kind", "ord", "attrs"), (F.col("doc_id") == F.col("t_doc")) & (F.col("n_node") == F.col("t_node")))
     running = F.sum("seen").over(Window.partitionBy("doc_id", "op_id").orderBy("ord", "n_node").rowsBetween(Window.unboundedPreceding, 0))
     over = met.withColumn("running", running).where(F.col("running") > F.coalesce("allowed", F.lit(0)))
     first = over.groupBy("doc_id", "op_id").agg(F.min_by(F.struct(F.col("n_node").alias("found_in"), channel.alias("channel"), C.preview(F.col("original")).alias("preview")), "running").alias("x"))
@@ -333,10 +363,13 @@ def verify(ops: DataFrame, retained: DataFrame, output: DataFrame, short: int =
     unverifiable = settle(unverifiable)
     leaks = survivors.union(first.select("doc_id", "op_id", "x.found_in", "x.channel", "x.preview")).union(overlay)
     leaks = settle(leaks)
-    totals = ops.groupBy("doc_id").agg(F.count("*").alias("operations")).join(leaks.groupBy("doc_id").agg(F.count("*").alias("n_leaks")), "doc_id", "full").join(unverifiable.groupBy("doc_id").agg(F.count("*").alias("n_unverifiable")), "doc_id", "left")
+    counted = ops.groupBy("doc_id").agg(F.count("*").alias("operations"))
+    if documents is not None:
+        counted = documents.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().join(counted, "doc_id", "left")
+    totals = counted.join(leaks.groupBy("doc_id").agg(F.count("*").alias("n_leaks")), "doc_id", "full").join(unverifiable.groupBy("doc_id").agg(F.count("*").alias("n_unverifiable")), "doc_id", "left")
     zero = F.lit(0).cast("long")
-    report = totals.select("doc_id", F.coalesce("operations", zero).alias("operations"), F.coalesce("n_leaks", zero).alias("leaks"), F.coalesce("n_unverifiable", zero).alias("unverifiable")).withColumn("passed", F.col("leaks") == 0)
-    report = report.withColumn("defensible", F.col("passed") & (F.col("unverifiable") == 0) & F.lit(not degraded)).withColumn("status", F.when(F.col("passed"), "released").otherwise("refused"))
+    report = totals.select("doc_id", F.coalesce("operations", zero).alias("operations"), F.coalesce("n_leaks", zero).alias("leaks"), F.coalesce("n_unverifiable", zero).alias("unverifiable")).withColumn("passed", F.col("leaks") == 0).withColumn("degraded", F.lit(degraded))
+    report = report.withColumn("defensible", F.col("passed") & (F.col("unverifiable") == 0) & ~F.col("degraded")).withColumn("status", F.when(F.col("passed"), "released").otherwise("refused"))
     return {"leaks": leaks, "unverifiable": unverifiable, "report": report}
 
 

@@ -54,7 +54,7 @@ def redact(docs: DataFrame, policy: Policy = PRIVACY, options: X.PlanOptions = X
     ops, retained = X.plan(a.nodes, a.classified["eligible"], a.classified["portions"], options, exclude)
     ops, retained = settle(ops), settle(retained)
     output = settle(X.apply(a.nodes, ops))
-    checked = X.verify(ops, retained, output)
+    checked = X.verify(ops, retained, output, documents=docs)
     checked["report"] = settle(checked["report"])
     if strict and (leaks := checked["leaks"].take(20)):
         raise LeakError([r.asDict() for r in leaks])

@@ -90,14 +90,6 @@ class Policy:
         return next(v for g in self.groups for v in g.values if v.id == key)
 
 
-def _types(text: str) -> tuple[str, ...]:
-    return tuple(text.split())
-
-
-def _values(text: str) -> tuple[Value, ...]:
-    """``id=NAME=SHORT`` separated by semicolons."""
-    return tuple(Value(*x.strip().split("=")) for x in text.split(";"))
-
 
 # --- Fixed values: the five policies. ---
 
@@ -105,30 +97,30 @@ PRIVACY = Policy(
     "privacy",
     (Level("open", "OPEN", "O", 0), Level("personal", "PERSONAL DATA", "PD", 20), Level("special-category", "SPECIAL CATEGORY", "SC", 30), Level("restricted", "RESTRICTED", "R", 40)),
     (
-        Group("basis", _values("gdpr-art4=GDPR-ART4=A4; gdpr-art9=GDPR-ART9=A9; gdpr-art10=GDPR-ART10=A10; hipaa-phi=HIPAA-PHI=PHI; pci-chd=PCI-CHD=CHD; ferpa=FERPA=FERPA")),
+        Group("basis", (Value("gdpr-art4", "GDPR-ART4", "A4"), Value("gdpr-art9", "GDPR-ART9", "A9"), Value("gdpr-art10", "GDPR-ART10", "A10"), Value("hipaa-phi", "HIPAA-PHI", "PHI"), Value("pci-chd", "PCI-CHD", "CHD"), Value("ferpa", "FERPA", "FERPA"))),
         Group("handling", (
             Value("no-publish", "DO NOT PUBLISH", "NP", ("aggregate-only", "pseudonymized")),
-            *_values("aggregate-only=AGGREGATE ONLY=AGG; pseudonymized=PSEUDONYMIZED=PSEUDO; consent-required=CONSENT REQUIRED=CONSENT"),
+            Value("aggregate-only", "AGGREGATE ONLY", "AGG"), Value("pseudonymized", "PSEUDONYMIZED", "PSEUDO"), Value("consent-required", "CONSENT REQUIRED", "CONSENT"),
         )),
     ),
     (
-        PolicyRule("privacy.direct-identifier", _types("person.name contact.*"), "personal", {"basis": ("gdpr-art4",), "handling": ("pseudonymized",)}, 0.6),
-        PolicyRule("privacy.government-identifier", _types("gov.*"), "personal", {"basis": ("gdpr-art4",), "handling": ("no-publish",)}, 0.6),
-        PolicyRule("privacy.health", _types("health.*"), "special-category", {"basis": ("gdpr-art9", "hipaa-phi"), "handling": ("no-publish",)}, 0.6),
-        PolicyRule("privacy.cardholder-data", _types("financial.card"), "personal", {"basis": ("pci-chd",), "handling": ("no-publish",)}, 0.7),
-        PolicyRule("privacy.financial", _types("financial.*"), "personal", {"basis": ("gdpr-art4",), "handling": ("no-publish",)}, 0.7),
-        PolicyRule("privacy.credentials", _types("secret.*"), "restricted", {"handling": ("no-publish",)}, 0.7),
-        PolicyRule("privacy.precise-location", _types("geo.coordinates geo.postcode"), "personal", {"basis": ("gdpr-art4",), "handling": ("aggregate-only",)}, 0.6),
-        PolicyRule("privacy.locality", _types("geo.locality"), "personal", {"basis": ("gdpr-art4", "hipaa-phi"), "handling": ("aggregate-only",)}, 0.6),
-        PolicyRule("privacy.dates", _types("temporal.date"), "personal", {"basis": ("hipaa-phi",), "handling": ("aggregate-only",)}, 0.6),
-        PolicyRule("privacy.amounts", _types("financial.amount"), "personal", {"basis": ("gdpr-art4",), "handling": ("aggregate-only",)}, 0.7),
-        PolicyRule("privacy.metadata", _types("risk.metadata"), "personal", {"basis": ("gdpr-art4",), "handling": ("no-publish",)}, 0.8),
-        PolicyRule("privacy.operator-marked", _types("manual.marked"), "personal", {"handling": ("no-publish",)}),
+        PolicyRule("privacy.direct-identifier", ("person.name", "contact.*"), "personal", {"basis": ("gdpr-art4",), "handling": ("pseudonymized",)}, 0.6),
+        PolicyRule("privacy.government-identifier", ("gov.*",), "personal", {"basis": ("gdpr-art4",), "handling": ("no-publish",)}, 0.6),
+        PolicyRule("privacy.health", ("health.*",), "special-category", {"basis": ("gdpr-art9", "hipaa-phi"), "handling": ("no-publish",)}, 0.6),
+        PolicyRule("privacy.cardholder-data", ("financial.card",), "personal", {"basis": ("pci-chd",), "handling": ("no-publish",)}, 0.7),
+        PolicyRule("privacy.financial", ("financial.*",), "personal", {"basis": ("gdpr-art4",), "handling": ("no-publish",)}, 0.7),
+        PolicyRule("privacy.credentials", ("secret.*",), "restricted", {"handling": ("no-publish",)}, 0.7),
+        PolicyRule("privacy.precise-location", ("geo.coordinates", "geo.postcode"), "personal", {"basis": ("gdpr-art4",), "handling": ("aggregate-only",)}, 0.6),
+        PolicyRule("privacy.locality", ("geo.locality",), "personal", {"basis": ("gdpr-art4", "hipaa-phi"), "handling": ("aggregate-only",)}, 0.6),
+        PolicyRule("privacy.dates", ("temporal.date",), "personal", {"basis": ("hipaa-phi",), "handling": ("aggregate-only",)}, 0.6),
+        PolicyRule("privacy.amounts", ("financial.amount",), "personal", {"basis": ("gdpr-art4",), "handling": ("aggregate-only",)}, 0.7),
+        PolicyRule("privacy.metadata", ("risk.metadata",), "personal", {"basis": ("gdpr-art4",), "handling": ("no-publish",)}, 0.8),
+        PolicyRule("privacy.operator-marked", ("manual.marked",), "personal", {"handling": ("no-publish",)}),
     ),
     (
-        Mosaic("mosaic.safe-harbor", _types("person.dob geo.postcode geo.locality temporal.date person.age contact.address health.record-number"), 2, "portion", "special-category",
+        Mosaic("mosaic.safe-harbor", ("person.dob", "geo.postcode", "geo.locality", "temporal.date", "person.age", "contact.address", "health.record-number"), 2, "portion", "special-category",
                {"basis": ("hipaa-phi",), "handling": ("aggregate-only",)}),
-        Mosaic("mosaic.singling-out", _types("person.name person.dob geo.postcode contact.* org.employee-id health.*"), 3, "document", "personal", {"handling": ("pseudonymized",)}),
+        Mosaic("mosaic.singling-out", ("person.name", "person.dob", "geo.postcode", "contact.*", "org.employee-id", "health.*"), 3, "document", "personal", {"handling": ("pseudonymized",)}),
     ),
     "open", " // ", ("[", "]"),
 )
@@ -137,49 +129,49 @@ CORPORATE = Policy(
     (Level("public", "PUBLIC", "P", 0), Level("internal", "INTERNAL", "I", 10), Level("confidential", "CONFIDENTIAL", "C", 20), Level("restricted", "RESTRICTED", "R", 30)),
     (
         Group("caveat", (
-            *_values("privileged=ATTORNEY-CLIENT PRIVILEGED=PRIV; personal-data=PERSONAL DATA=PD; trade-secret=TRADE SECRET=TS; material-nonpublic=MATERIAL NON-PUBLIC=MNPI"),
+            Value("privileged", "ATTORNEY-CLIENT PRIVILEGED", "PRIV"), Value("personal-data", "PERSONAL DATA", "PD"), Value("trade-secret", "TRADE SECRET", "TS"), Value("material-nonpublic", "MATERIAL NON-PUBLIC", "MNPI"),
             Value("no-external", "NO EXTERNAL DISTRIBUTION", "NOEXT", ("partners", "customers")),
         )),
-        Group("audience", _values("internal-staff=STAFF=STAFF; partners=PARTNERS=PTNR; customers=CUSTOMERS=CUST"), False, "SHARE ", separator=", ", defaults=("internal-staff",)),
+        Group("audience", (Value("internal-staff", "STAFF", "STAFF"), Value("partners", "PARTNERS", "PTNR"), Value("customers", "CUSTOMERS", "CUST")), False, "SHARE ", separator=", ", defaults=("internal-staff",)),
     ),
     (
-        PolicyRule("corp.personal-data", _types("person.* contact.* gov.*"), "confidential", {"caveat": ("personal-data",)}, 0.6),
-        PolicyRule("corp.financial", _types("financial.*"), "confidential", {"caveat": ("personal-data", "no-external")}, 0.7),
-        PolicyRule("corp.credentials", _types("secret.*"), "restricted", {"caveat": ("no-external",)}, 0.7),
-        PolicyRule("corp.infrastructure", _types("net.hostname net.ipv4 net.ipv6 net.mac"), "internal", {"caveat": ("no-external",)}, 0.7),
-        PolicyRule("corp.privilege", _types("marking.banner"), "confidential", {}, 0.8),
-        PolicyRule("corporate.operator-marked", _types("manual.marked"), "confidential", {"caveat": ("no-external",)}),
+        PolicyRule("corp.personal-data", ("person.*", "contact.*", "gov.*"), "confidential", {"caveat": ("personal-data",)}, 0.6),
+        PolicyRule("corp.financial", ("financial.*",), "confidential", {"caveat": ("personal-data", "no-external")}, 0.7),
+        PolicyRule("corp.credentials", ("secret.*",), "restricted", {"caveat": ("no-external",)}, 0.7),
+        PolicyRule("corp.infrastructure", ("net.hostname", "net.ipv4", "net.ipv6", "net.mac"), "internal", {"caveat": ("no-external",)}, 0.7),
+        PolicyRule("corp.privilege", ("marking.banner",), "confidential", {}, 0.8),
+        PolicyRule("corporate.operator-marked", ("manual.marked",), "confidential", {"caveat": ("no-external",)}),
     ),
-    (Mosaic("mosaic.employee-record", _types("person.name org.employee-id contact.* person.dob"), 3, "portion", "confidential", {"caveat": ("personal-data", "no-external")}),),
+    (Mosaic("mosaic.employee-record", ("person.name", "org.employee-id", "contact.*", "person.dob"), 3, "portion", "confidential", {"caveat": ("personal-data", "no-external")}),),
     "internal",
 )
 US_CAPCO = Policy(
     "us-capco",
     (Level("unclassified", "UNCLASSIFIED", "U", 0), Level("cui", "CUI", "CUI", 10), Level("confidential", "CONFIDENTIAL", "C", 20), Level("secret", "SECRET", "S", 30), Level("top-secret", "TOP SECRET", "TS", 40)),
     (
-        Group("sci", _values("si=SI=SI; tk=TK=TK; hcs=HCS=HCS; kdk=KDK=KDK")),
-        Group("cui-category", _values("sp-prvcy=SP-PRVCY=PRVCY; sp-hlth=SP-HLTH=HLTH; sp-propin=SP-PROPIN=PROPIN; sp-lei=SP-LEI=LEI; sp-tax=SP-TAX=TAX; sp-opsec=SP-OPSEC=OPSEC")),
+        Group("sci", (Value("si", "SI", "SI"), Value("tk", "TK", "TK"), Value("hcs", "HCS", "HCS"), Value("kdk", "KDK", "KDK"))),
+        Group("cui-category", (Value("sp-prvcy", "SP-PRVCY", "PRVCY"), Value("sp-hlth", "SP-HLTH", "HLTH"), Value("sp-propin", "SP-PROPIN", "PROPIN"), Value("sp-lei", "SP-LEI", "LEI"), Value("sp-tax", "SP-TAX", "TAX"), Value("sp-opsec", "SP-OPSEC", "OPSEC"))),
         Group("dissemination", (
             Value("noforn", "NOFORN", "NF", ("usa", "fvey", "nato", "aus", "can", "gbr", "nzl")),
-            *_values("orcon=ORCON=OC; propin=PROPIN=PR; relido=RELIDO=RELIDO; imcon=IMCON=IMC; fisa=FISA=FISA; fedcon=FED ONLY=FEDCON; nocontract=NOCONTRACT=NC"),
+            Value("orcon", "ORCON", "OC"), Value("propin", "PROPIN", "PR"), Value("relido", "RELIDO", "RELIDO"), Value("imcon", "IMCON", "IMC"), Value("fisa", "FISA", "FISA"), Value("fedcon", "FED ONLY", "FEDCON"), Value("nocontract", "NOCONTRACT", "NC"),
         )),
         Group("releasable", (
             Value("usa", "USA", "USA"), Value("fvey", "FVEY", "FVEY", expands=("usa", "aus", "can", "gbr", "nzl")),
-            *_values("nato=NATO=NATO; aus=AUS=AUS; can=CAN=CAN; gbr=GBR=GBR; nzl=NZL=NZL"),
+            Value("nato", "NATO", "NATO"), Value("aus", "AUS", "AUS"), Value("can", "CAN", "CAN"), Value("gbr", "GBR", "GBR"), Value("nzl", "NZL", "NZL"),
         ), False, "REL TO ", separator=", ", defaults=("usa",)),
     ),
     (
-        PolicyRule("cui.privacy", _types("person.* contact.* gov.ssn gov.tax-id gov.passport gov.driver-license gov.national-id gov.mrz"), "cui", {"cui-category": ("sp-prvcy",)}, 0.6),
-        PolicyRule("cui.health", _types("health.*"), "cui", {"cui-category": ("sp-hlth",)}, 0.6),
-        PolicyRule("cui.tax", _types("gov.tax-id"), "cui", {"cui-category": ("sp-tax",)}, 0.6),
-        PolicyRule("cui.financial", _types("financial.*"), "cui", {"cui-category": ("sp-prvcy",)}, 0.7),
-        PolicyRule("cui.opsec", _types("secret.* net.hostname net.ipv4 net.ipv6"), "cui", {"cui-category": ("sp-opsec",)}, 0.7),
-        PolicyRule("dissem.propin", _types("org.*"), "cui", {"cui-category": ("sp-propin",), "dissemination": ("propin",)}, 0.7),
-        PolicyRule("us-capco.operator-marked", _types("manual.marked"), "cui", {"cui-category": ("sp-prvcy",)}),
+        PolicyRule("cui.privacy", ("person.*", "contact.*", "gov.ssn", "gov.tax-id", "gov.passport", "gov.driver-license", "gov.national-id", "gov.mrz"), "cui", {"cui-category": ("sp-prvcy",)}, 0.6),
+        PolicyRule("cui.health", ("health.*",), "cui", {"cui-category": ("sp-hlth",)}, 0.6),
+        PolicyRule("cui.tax", ("gov.tax-id",), "cui", {"cui-category": ("sp-tax",)}, 0.6),
+        PolicyRule("cui.financial", ("financial.*",), "cui", {"cui-category": ("sp-prvcy",)}, 0.7),
+        PolicyRule("cui.opsec", ("secret.*", "net.hostname", "net.ipv4", "net.ipv6"), "cui", {"cui-category": ("sp-opsec",)}, 0.7),
+        PolicyRule("dissem.propin", ("org.*",), "cui", {"cui-category": ("sp-propin",), "dissemination": ("propin",)}, 0.7),
+        PolicyRule("us-capco.operator-marked", ("manual.marked",), "cui", {"cui-category": ("sp-prvcy",)}),
     ),
     (
-        Mosaic("mosaic.hipaa-quasi-identifiers", _types("person.dob geo.postcode person.age contact.address"), 2, "portion", "cui", {"cui-category": ("sp-prvcy",)}),
-        Mosaic("mosaic.identity-dossier", _types("person.name gov.* contact.email contact.phone contact.address"), 3, "document", "cui", {"cui-category": ("sp-prvcy",)}),
+        Mosaic("mosaic.hipaa-quasi-identifiers", ("person.dob", "geo.postcode", "person.age", "contact.address"), 2, "portion", "cui", {"cui-category": ("sp-prvcy",)}),
+        Mosaic("mosaic.identity-dossier", ("person.name", "gov.*", "contact.email", "contact.phone", "contact.address"), 3, "document", "cui", {"cui-category": ("sp-prvcy",)}),
     ),
     "unclassified", "//",
 )
@@ -187,18 +179,18 @@ UK_GSCP = Policy(
     "uk-gscp",
     (Level("official", "OFFICIAL", "O", 10), Level("official-sensitive", "OFFICIAL-SENSITIVE", "OS", 15), Level("secret", "SECRET", "S", 30), Level("top-secret", "TOP SECRET", "TS", 40)),
     (
-        Group("descriptor", _values("commercial=COMMERCIAL=COMM; personal=PERSONAL=PERS; legal=LEGAL=LEGAL; locsen=LOCSEN=LOCSEN; health=MEDICAL=MED"), prefix="[", suffix="]", separator=", "),
+        Group("descriptor", (Value("commercial", "COMMERCIAL", "COMM"), Value("personal", "PERSONAL", "PERS"), Value("legal", "LEGAL", "LEGAL"), Value("locsen", "LOCSEN", "LOCSEN"), Value("health", "MEDICAL", "MED")), prefix="[", suffix="]", separator=", "),
         Group("caveat", (Value("uk-eyes-only", "UK EYES ONLY", "UKEO", ("gbr", "fvey", "nato"), minimum="secret"), Value("handling-instruction", "HANDLING INSTRUCTIONS APPLY", "HI"))),
-        Group("releasable", _values("gbr=GBR=GBR; fvey=FVEY=FVEY; nato=NATO=NATO"), False, "REL ", separator=", ", defaults=("gbr",)),
+        Group("releasable", (Value("gbr", "GBR", "GBR"), Value("fvey", "FVEY", "FVEY"), Value("nato", "NATO", "NATO")), False, "REL ", separator=", ", defaults=("gbr",)),
     ),
     (
-        PolicyRule("gscp.personal-data", _types("person.* contact.* gov.national-id gov.passport gov.driver-license"), "official-sensitive", {"descriptor": ("personal",)}, 0.6),
-        PolicyRule("gscp.special-category", _types("health.*"), "official-sensitive", {"descriptor": ("personal", "health")}, 0.6),
-        PolicyRule("gscp.commercial", _types("financial.*"), "official-sensitive", {"descriptor": ("commercial",)}, 0.7),
-        PolicyRule("gscp.credentials", _types("secret.*"), "official-sensitive", {}, 0.7),
-        PolicyRule("uk-gscp.operator-marked", _types("manual.marked"), "official-sensitive", {"descriptor": ("personal",)}),
+        PolicyRule("gscp.personal-data", ("person.*", "contact.*", "gov.national-id", "gov.passport", "gov.driver-license"), "official-sensitive", {"descriptor": ("personal",)}, 0.6),
+        PolicyRule("gscp.special-category", ("health.*",), "official-sensitive", {"descriptor": ("personal", "health")}, 0.6),
+        PolicyRule("gscp.commercial", ("financial.*",), "official-sensitive", {"descriptor": ("commercial",)}, 0.7),
+        PolicyRule("gscp.credentials", ("secret.*",), "official-sensitive", {}, 0.7),
+        PolicyRule("uk-gscp.operator-marked", ("manual.marked",), "official-sensitive", {"descriptor": ("personal",)}),
     ),
-    (Mosaic("mosaic.uk-quasi-identifiers", _types("geo.postcode person.dob contact.address person.name"), 2, "portion", "official-sensitive", {"descriptor": ("personal",)}),),
+    (Mosaic("mosaic.uk-quasi-identifiers", ("geo.postcode", "person.dob", "contact.address", "person.name"), 2, "portion", "official-sensitive", {"descriptor": ("personal",)}),),
     "official", " ",
 )
 NATO = Policy(
@@ -208,13 +200,13 @@ NATO = Policy(
     (
         Group("compartment", (Value("atomal", "ATOMAL", "A", minimum="nato-confidential"), Value("bohemia", "BOHEMIA", "BOH", minimum="nato-secret"))),
         Group("dissemination", (Value("nato-eyes-only", "NATO EYES ONLY", "NEO", ("pfp", "ico")), Value("releasable-internet", "RELEASABLE TO THE INTERNET", "RELINT"))),
-        Group("releasable", _values("nato-nations=NATO=NATO; pfp=PFP=PFP; ico=ISAF COALITION=ICO"), False, "REL ", separator=", ", defaults=("nato-nations",)),
+        Group("releasable", (Value("nato-nations", "NATO", "NATO"), Value("pfp", "PFP", "PFP"), Value("ico", "ISAF COALITION", "ICO")), False, "REL ", separator=", ", defaults=("nato-nations",)),
     ),
     (
-        PolicyRule("nato.personal-data", _types("person.* contact.* gov.*"), "nato-restricted", {}, 0.6),
-        PolicyRule("nato.credentials", _types("secret.*"), "nato-confidential", {"dissemination": ("nato-eyes-only",)}, 0.7),
-        PolicyRule("nato.locations", _types("geo.coordinates"), "nato-restricted", {}, 0.7),
-        PolicyRule("nato.operator-marked", _types("manual.marked"), "nato-restricted"),
+        PolicyRule("nato.personal-data", ("person.*", "contact.*", "gov.*"), "nato-restricted", {}, 0.6),
+        PolicyRule("nato.credentials", ("secret.*",), "nato-confidential", {"dissemination": ("nato-eyes-only",)}, 0.7),
+        PolicyRule("nato.locations", ("geo.coordinates",), "nato-restricted", {}, 0.7),
+        PolicyRule("nato.operator-marked", ("manual.marked",), "nato-restricted"),
     ),
     (),
     "nato-unclassified", "//",

@@ -151,6 +151,21 @@ def read_exif(tiff: bytes) -> dict[str, object]:
     return out
 
 
+MOST_TEXT = 64 << 20  # of one compressed text block; a longer one is an error, never cut
+
+
+def inflated(data: bytes) -> bytes:
+    reader = zlib.decompressobj()
+    out = reader.decompress(data, MOST_TEXT)
+    if reader.unconsumed_tail:
+        raise RedactionError("E_PARSE", f"a text block inflates to more than {MOST_TEXT} bytes")
+    return out + reader.flush()
+
+
+def _numbers(v) -> bool:
+    return isinstance(v, list) and 0 < len(v) and all(isinstance(x, int | float) for x in v)
+
+
 def metadata_fields(raw: bytes) -> list[tuple[str, str]]:
     """``(key, text)`` of everything the container says besides its pixels; GPS as one decimal position."""
     out: list[tuple[str, str]] = []
@@ -158,19 +173,19 @@ def metadata_fields(raw: bytes) -> list[tuple[str, str]]:
         body = raw[start + 4 : end] if sniff(raw) == "jpeg" else raw[start + 8 : end - 4]
         if kind in ("exif", "eXIf"):
             fields = read_exif(body[6:] if kind == "exif" else body)
-            if "GPSLatitude" in fields and "GPSLongitude" in fields:
+            if _numbers(fields.get("GPSLatitude")) and _numbers(fields.get("GPSLongitude")):
                 lat = gps_to_decimal(fields["GPSLatitude"], str(fields.get("GPSLatitudeRef", "N")))
                 lon = gps_to_decimal(fields["GPSLongitude"], str(fields.get("GPSLongitudeRef", "E")))
                 out.append(("GPSPosition", f"{lat:.6f}, {lon:.6f}"))
             out += [(k, v) for k, v in fields.items() if isinstance(v, str) and not k.startswith("GPS") and v]
         elif kind in ("tEXt", "zTXt"):
             key, _, rest = body.partition(b"\0")
-            text = zlib.decompressobj().decompress(rest[1:], 1 << 20) if kind == "zTXt" else rest
+            text = inflated(rest[1:]) if kind == "zTXt" else rest
             out.append((key.decode("latin-1"), text.decode("latin-1")))
         elif kind == "iTXt":
             key, _, rest = body.partition(b"\0")
             text = rest[2:].split(b"\0", 2)[-1]
-            out.append((key.decode("latin-1"), (zlib.decompressobj().decompress(text, 1 << 20) if rest[:1] == b"\1" else text).decode("utf-8", "replace")))
+            out.append((key.decode("latin-1"), (inflated(text) if rest[:1] == b"\1" else text).decode("utf-8", "replace")))
         elif kind == "comment":
             out.append(("Comment", body.decode("latin-1")))
         else:
@@ -188,7 +203,7 @@ def parse(files: DataFrame) -> DataFrame:
                 try:
                     found = metadata_fields(raw or b"")
                     rows += [(doc, f"meta:{k}:{i}", i, "metadata", None, text, [("key", k)]) for i, (k, text) in enumerate(found)]
-                except (RedactionError, zlib.error, struct.error) as e:
+                except Exception as e:  # a damaged file is a row, whatever breaks in it
                     rows.append((doc, "container", 0, "container", None, None, [("error", str(e))]))
             yield node_batch(rows)
 
@@ -219,7 +234,7 @@ def scrub(files: DataFrame) -> DataFrame:
                 try:
                     blocks = scan_container(raw or b"")
                     out.append((doc, strip_metadata(raw), [b[0] for b in blocks], sum(z - a for _, a, z in blocks), None))
-                except (RedactionError, struct.error) as e:
+                except Exception as e:  # as above
                     out.append((doc, None, None, None, str(e)))
             kinds = [pa.string(), pa.binary(), pa.list_(pa.string()), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["doc_id", "content", "removed", "bytes_removed", "error"])
