@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from functools import partial, reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +22,7 @@ from ..sources import image as IMG
 from ..sources import pdf as PDF
 from ..sources import text as T
 from ..streaming import streams
-from . import lattice, pipeline
+from . import pipeline, planted
 from .policies import POLICIES, PRIVACY, US_CAPCO
 
 QUERIES: dict = {}
@@ -44,7 +49,7 @@ EMAIL = R.CONTACT[0].pattern
 QUAD = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 CARD = r"(?<![\d-])(?:\d[ -]?){11,18}\d(?![\d-])"
 PHONE = r"(?<![\w+])\+?\d[\d\s().-]{5,18}\d(?!\w)"
-SECRET = r"""(?i)(?:api[_ -]?key|secret|token)["']?[ \t]{0,4}[:=][ \t]{0,4}["']?([A-Za-z0-9+/_.=-]{16,512})"""
+SECRET = r"""(?i)(?:api[_ -]?key|secret|token)["']?[ \t]{0,4}[:=][ \t]{0,4}["']?([A-Za-z0-9+/_.=-]{16,})"""
 
 _Q_EMAIL = EMAIL.replace("'", "''")
 _Q_QUAD = r"(?:^|[^0-9.])((?:[0-9]{1,3}\.){3}[0-9]{1,3})(?:$|[^0-9.]|\.[^0-9]|\.$)"
@@ -238,7 +243,7 @@ def _two(spark, sf_dir):
     return nodes, sure, settle(ops), retained
 
 
-_REDACTED = f"regexp_replace(regexp_replace(text, '{_Q_EMAIL}', '[REDACTED]', 'g'), '(?i)((?:api[_ -]?key|secret|token)[\"'']?[ \\t]{{0,4}}[:=][ \\t]{{0,4}}[\"'']?)[A-Za-z0-9+/_.=-]{{16,512}}', '\\1[REDACTED]', 'g')"
+_REDACTED = f"regexp_replace(regexp_replace(text, '{_Q_EMAIL}', '[REDACTED]', 'g'), '(?i)((?:api[_ -]?key|secret|token)[\"'']?[ \\t]{{0,4}}[:=][ \\t]{{0,4}}[\"'']?)[A-Za-z0-9+/_.=-]{{16,}}', '\\1[REDACTED]', 'g')"
 
 
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256({_REDACTED}) AS digest FROM documents WHERE trim(text) <> ''")
@@ -264,6 +269,31 @@ def verify_leaky(spark, sf_dir):
     return X.verify(ops, retained, X.apply(nodes, lazy))["report"].select("doc_id", "leaks", "passed")
 
 
+_ENTRY = """'{"authority":"Policy determination","entity_types":["' || type || '"],"location":"' || location || '","operation_id":"' || op_id || '","previous":"' || PREVIOUS || '","reason_code":"policy.sensitive-content","seq":' || SEQ || ',"strategy":"replace","value_digest":"' || digest || '","value_length":' || size || '}'"""
+
+
+@query(f"""WITH RECURSIVE ops AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, s_suppkey AS k, unnest(range(0, 3)) AS i FROM supplier),
+listed AS (
+  SELECT doc_id, 'p0:t:' || (i * 10) || '-' || (i * 10 + 5) AS location, 'op_' || k || '_' || i AS op_id, CASE i WHEN 1 THEN 'gov.ssn' ELSE 'contact.email' END AS type,
+         sha256('a fixed salt of the query' || 'v' || k || '-' || i) AS digest, length('v' || k || '-' || i) AS size FROM ops),
+entries AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY location) - 1 AS seq FROM listed),
+chain AS (
+  SELECT doc_id, seq, sha256({_ENTRY.replace("PREVIOUS", "repeat('0', 64)").replace("SEQ", "seq")}) AS hash FROM entries WHERE seq = 0
+  UNION ALL SELECT e.doc_id, e.seq, sha256({_ENTRY.replace("PREVIOUS", "c.hash").replace("SEQ", "e.seq")}) FROM chain c JOIN entries e ON e.doc_id = c.doc_id AND e.seq = c.seq + 1)
+SELECT doc_id, CAST(seq AS INTEGER) AS seq, hash FROM chain""")
+def manifest_hashes(spark, sf_dir):
+    """The hash chain itself, over three operations a supplier."""
+    salt, one = b"a fixed salt of the query", F.explode(F.sequence(F.lit(0), F.lit(2)))
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), one.alias("i"))
+    ops = rows.select(
+        "doc_id", F.concat(F.lit("op_"), "doc_id", F.lit("_"), "i").alias("op_id"), F.lit("replace").alias("strategy"), F.concat(F.lit("p0:t:"), F.col("i") * 10, F.lit("-"), F.col("i") * 10 + 5).alias("location"),
+        F.lit("policy.sensitive-content").alias("reason_code"), F.lit("Policy determination").alias("authority"), F.concat(F.lit("v"), "doc_id", F.lit("-"), "i").alias("original"), F.array(F.concat(F.lit("f"), "i")).alias("finding_ids"),
+    )
+    found = rows.select("doc_id", F.concat(F.lit("f"), "i").alias("id"), F.when(F.col("i") == 1, "gov.ssn").otherwise("contact.email").alias("type"))
+    return P.manifest_entries(ops, found, salt).select("doc_id", "seq", "hash")
+
+
 @query(f"{_OPS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) AS entries, true AS intact FROM every GROUP BY doc_id")
 def manifest_chain(spark, sf_dir):
     _, sure, ops, _ = _two(spark, sf_dir)
@@ -421,17 +451,13 @@ def event_sessions(spark, sf_dir):
     return found.select("user_id", "n", F.unix_micros("start").alias("start"))
 
 
-# ---- fixtures: operators that SQL can't express
+# ---- all rules and stages
 
-LETTER = (
-    "Name: Marta Feld, born 04/05/1979, SSN 212-45-6789, marta.feld@mail.example or +44 20 7946 0018.\n\n"
-    "Card 4111 1111 1111 1111 exp: 09/27 CVV: 123. IBAN: GB29 NWBK 6016 1331 9268 19. Dr. Paul Stein, 12 Harbour Road, London NW1 6XE.\n\n"
-    "Feld wrote from 93.184.216.34; condition: epilepsy. password = hunter2x"
-)
 
-
-def _letters(spark) -> DataFrame:
-    return spark.createDataFrame([("letter", LETTER, {"Author": "Marta Feld", "Pages": "3"})], "doc_id string, text string, metadata map<string,string>")
+for _pack in planted.PLANTED:
+    QUERIES[f"rules_{_pack}"] = partial(planted.found, pack=_pack)
+    SQL[f"rules_{_pack}"] = planted.sql(_pack)
+QUERIES["repeat_values"], SQL["repeat_values"] = planted.repeats, planted.REPEATS_SQL
 
 
 @query()
@@ -441,75 +467,126 @@ def detect_all_rules(spark, sf_dir):
     return found.select("doc_id", "node_id", "rule_id", "type", "start", "end", "value", "normalized", F.round("confidence", 4).alias("confidence"))
 
 
-@query()
-def repeat_values(spark, sf_dir):
-    _, found = D.detect(T.nodes(_letters(spark)))
-    return found.where("rule_id = 'repeat:value'").select("doc_id", "node_id", "start", "end", "value", "type")
+_FLAGS = f"""{_WITH}, every AS (
+  SELECT doc_id, 'e' AS t FROM emails UNION ALL SELECT doc_id, 'i' FROM quads UNION ALL SELECT doc_id, 'c' FROM cards UNION ALL SELECT doc_id, 's' FROM secrets),
+flags AS (SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, coalesce(bool_or(t = 'e'), false) AS e, coalesce(bool_or(t = 'i'), false) AS i, coalesce(bool_or(t = 'c'), false) AS c, coalesce(bool_or(t = 's'), false) AS s
+  FROM documents d LEFT JOIN every v ON d.doc_id = v.doc_id GROUP BY d.doc_id)"""
 
 
-@query()
-def redact_letter(spark, sf_dir):
-    """The whole run with pseudonyms: a plan's operations beside the verdict."""
-    r = pipeline.redact(_letters(spark), PRIVACY, X.PlanOptions(key=b"a key of the query only"), salt=b"a fixed salt of the query")
-    return r.operations.join(r.verification["report"], "doc_id").select("doc_id", "location", "strategy", "replacement", "reason_code", "passed", "defensible")
+@query(f"""{_FLAGS}
+SELECT 'privacy' AS policy, doc_id, CASE WHEN s THEN 'RESTRICTED' WHEN e OR c THEN 'PERSONAL DATA' ELSE 'OPEN' END
+  || CASE WHEN c THEN ' // GDPR-ART4/PCI-CHD' WHEN e THEN ' // GDPR-ART4' ELSE '' END || CASE WHEN s OR c THEN ' // DO NOT PUBLISH' WHEN e THEN ' // PSEUDONYMIZED' ELSE '' END AS banner FROM flags
+UNION ALL SELECT 'corporate', doc_id, CASE WHEN s THEN 'RESTRICTED' WHEN e OR c THEN 'CONFIDENTIAL' WHEN i THEN 'INTERNAL' ELSE 'PUBLIC' END
+  || CASE WHEN (e OR c) AND (c OR s OR i) THEN ' // PERSONAL DATA/NO EXTERNAL DISTRIBUTION' WHEN e OR c THEN ' // PERSONAL DATA' WHEN s OR i THEN ' // NO EXTERNAL DISTRIBUTION' ELSE '' END FROM flags
+UNION ALL SELECT 'us-capco', doc_id, CASE WHEN (e OR c) AND (s OR i) THEN 'CUI//SP-PRVCY/SP-OPSEC' WHEN e OR c THEN 'CUI//SP-PRVCY' WHEN s OR i THEN 'CUI//SP-OPSEC' ELSE 'UNCLASSIFIED' END FROM flags
+UNION ALL SELECT 'uk-gscp', doc_id, CASE WHEN e OR c OR s THEN 'OFFICIAL-SENSITIVE' ELSE 'OFFICIAL' END || CASE WHEN e AND c THEN ' [COMMERCIAL, PERSONAL]' WHEN c THEN ' [COMMERCIAL]' WHEN e THEN ' [PERSONAL]' ELSE '' END FROM flags
+UNION ALL SELECT 'nato', doc_id, CASE WHEN s THEN 'NATO CONFIDENTIAL//NATO EYES ONLY' WHEN e THEN 'NATO RESTRICTED' ELSE 'NATO UNCLASSIFIED' END FROM flags""")
+def policy_banners(spark, sf_dir):
+    """Each document under each policy."""
+    docs = _docs(spark, sf_dir)
+    sure = settle(K.eligible(_resolved(spark, sf_dir), T.paragraphs(docs)))
+    banners = [K.classify_documents(p, docs, sure, K.classify_portions(p, sure)).select(F.lit(p.id).alias("policy"), "doc_id", "banner") for p in POLICIES.values()]
+    return reduce(DataFrame.union, banners)
 
 
-@query()
-def policy_banners(spark, sf_dir):
-    """The letter under each policy."""
-    nodes = settle(T.nodes(_letters(spark)))
-    _, found = D.detect(nodes)
-    out = None
-    for p in POLICIES.values():
-        sure = settle(K.eligible(found, nodes))
-        one = K.classify_documents(p, _letters(spark), sure, K.classify_portions(p, sure)).select(F.lit(p.id).alias("policy"), "doc_id", "banner")
-        out = one if out is None else out.union(one)
-    return out
+# ---- files made from the supplier table
 
 
-@query()
-def marking_round_trip(spark, sf_dir):
-    rows = []
-    for p in POLICIES.values():
-        for level in p.levels:
-            text = lattice.render(p, (level.id, {}))
-            rows.append((p.id, text, lattice.render(p, lattice.parse(p, text)[0])))
-    return spark.createDataFrame(rows, "policy string, marking string, again string")
+def _files(spark, sf_dir, make) -> DataFrame:
+    """``(doc_id, content)`` of ``make(key, name)`` for every supplier."""
 
+    def run(batches):
+        for batch in batches:
+            keys, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(map(str, keys), pa.string()), pa.array([make(k, n) for k, n in zip(keys, names)], pa.binary())], names=["doc_id", "content"])
 
-@query()
-def structural_overlay(spark, sf_dir):
-    """A shape over live text, by the spatial join."""
-    files = _pdf(spark)
-    return D.opaque_over_text(PDF.parse(files)).select("doc_id", "node_id", "text", "shape_id")
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").mapInArrow(run, "doc_id string, content binary")
 
 
-def _pdf(spark) -> DataFrame:
-    paint = b"BT /F1 12 Tf 72 700 Td (Marta Feld 212-45-6789) Tj ET q 0 g 70 695 220 16 re f Q"
+def _pdf(key: int, name: str) -> bytes:
+    paint = f"BT /F1 12 Tf 72 700 Td ({name}) Tj ET BT /F1 12 Tf 72 500 Td (key {key}) Tj ET q 0 g 70 695 220 16 re f Q".encode()
     n, r = PDF.Name, PDF.Ref
-    objects = {1: {"Type": n("Catalog"), "Pages": r(2)}, 2: {"Type": n("Pages"), "Kids": [r(3)], "Count": 1}, 3: {"Type": n("Page"), "Parent": r(2), "MediaBox": [0, 0, 612, 792], "Contents": r(4)}, 4: PDF.Stream({}, paint), 5: {"Author": b"M. Feld"}}
-    return spark.createDataFrame([("file", bytearray(PDF.assemble(objects, {"Root": r(1), "Info": r(5)})))], "doc_id string, content binary")
+    objects = {1: {"Type": n("Catalog"), "Pages": r(2)}, 2: {"Type": n("Pages"), "Kids": [r(3)], "Count": 1}, 3: {"Type": n("Page"), "Parent": r(2), "MediaBox": [0, 0, 612, 792], "Contents": r(4)}, 4: PDF.Stream({}, paint), 5: {"Author": name.encode()}}
+    return PDF.assemble(objects, {"Root": r(1), "Info": r(5)})
 
 
-@query()
+_KEYS = "WITH keys AS (SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, s_suppkey AS k, s_name AS name FROM supplier)"
+
+
+@query(f"{_KEYS} SELECT doc_id, 'p0s0t0' AS node_id, name AS text, 'p0s0r0' AS shape_id FROM keys")
+def structural_overlay(spark, sf_dir):
+    """A shape over live text, by the spatial join; the text beside it is left alone."""
+    return D.opaque_over_text(PDF.parse(_files(spark, sf_dir, _pdf))).select("doc_id", "node_id", "text", "shape_id")
+
+
+@query(f"""{_KEYS} SELECT doc_id, 'info:Author' AS node_id, 'metadata' AS kind, name AS text FROM keys
+UNION ALL SELECT doc_id, 'p0s0t0', 'text', name FROM keys UNION ALL SELECT doc_id, 'p0s0t1', 'text', 'key ' || k FROM keys UNION ALL SELECT doc_id, 'p0s0r0', 'vector', NULL FROM keys""")
 def pdf_nodes(spark, sf_dir):
-    return PDF.parse(_pdf(spark)).select("doc_id", "node_id", "kind", "page", "text")
+    return PDF.parse(_files(spark, sf_dir, _pdf)).where("kind <> 'container'").select("doc_id", "node_id", "kind", "text")
 
 
-@query()
+@query(f"{_KEYS} SELECT doc_id, 'key ' || k AS text FROM keys")
 def pdf_redacted(spark, sf_dir):
-    rows = [("file", "text", "p0s0t0", "remove", None, None, None), ("file", "node", "info:Author", "remove", None, None, None)]
-    ops = spark.createDataFrame(rows, f"doc_id string, loc_kind string, node_id string, strategy string, replacement string, rect {T.BBOX}, page int")
-    out = PDF.apply(_pdf(spark), ops)
-    return PDF.parse(out.select("doc_id", "content")).select("doc_id", "node_id", "kind", "text")
+    """The covered text and the author are removed; what is left, read again."""
+    files = _files(spark, sf_dir, _pdf)
+    targets = F.array(*[F.struct(F.lit(kind).alias("loc_kind"), F.lit(node).alias("node_id")) for kind, node in (("text", "p0s0t0"), ("node", "info:Author"))])
+    none = F.lit(None)
+    ops = files.select("doc_id", F.explode(targets).alias("t")).select("doc_id", "t.*", F.lit("remove").alias("strategy"), none.cast("string").alias("replacement"), none.cast(T.BBOX).alias("rect"), none.cast("int").alias("page"))
+    return PDF.parse(PDF.apply(files, ops).select("doc_id", "content")).where("trim(text) <> ''").select("doc_id", "text")
 
 
-@query()
+def _scan(key: int, name: str) -> bytes:
+    if key % 5 == 4:
+        return b"no file"
+    return PDF.image_pdf([{"width": 1 + key % 7, "height": 2, "rgb": bytes(6 * (1 + key % 7))}, {"width": 2, "height": 2, "jpeg": b"\xff\xd8" + name.encode()}])
+
+
+@query(f"""{_KEYS} SELECT doc_id, 1 + k % 7 AS width, 2 AS height FROM keys WHERE k % 5 <> 4 UNION ALL SELECT doc_id, 2, 2 FROM keys WHERE k % 5 <> 4""")
 def pdf_images(spark, sf_dir):
-    """The images of a scanned file and of one that isn't a PDF."""
-    scan = PDF.image_pdf([{"width": 2, "height": 1, "rgb": bytes(range(6))}, {"width": 2, "height": 2, "jpeg": b"\xff\xd8x"}])
-    files = spark.createDataFrame([("scan", bytearray(scan)), ("text", bytearray(b"no file"))], "doc_id string, content binary")
-    return PDF.extract_images(files).select("doc_id", "number", "page", "width", "height", "filter", F.length("data").alias("size"), "error")
+    """The images of scanned files; a file that isn't a PDF has none."""
+    return PDF.extract_images(_files(spark, sf_dir, _scan)).where("error is null").select("doc_id", F.col("width").cast("long").alias("width"), "height")
+
+
+def _png(key: int, name: str) -> bytes:
+    chunk = lambda t, b: struct.pack(">I", len(b)) + t + b + struct.pack(">I", zlib.crc32(t + b))
+    if key % 5 == 4:
+        return b"no image"
+    text = chunk(b"tEXt", b"Author\0" + name.encode()) + chunk(b"zTXt", b"Comment\0\0" + zlib.compress(b"x" * (3 << 20)))
+    return IMG.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)) + text + chunk(b"IDAT", zlib.compress(bytes(4))) + chunk(b"IEND", b"")
+
+
+@query(f"""{_KEYS} SELECT doc_id, 'Author' AS key, name AS text, CAST(length(name) AS BIGINT) AS size FROM keys WHERE k % 5 <> 4
+UNION ALL SELECT doc_id, 'Comment', 'xxxx', 3145728 FROM keys WHERE k % 5 <> 4 UNION ALL SELECT doc_id, NULL, NULL, NULL FROM keys WHERE k % 5 = 4""")
+def image_metadata(spark, sf_dir):
+    """Texts of the containers, long ones whole; a file that can't be read is one row."""
+    found = IMG.parse(_files(spark, sf_dir, _png))
+    key = F.try_element_at("attrs", F.lit("key"))
+    return found.select("doc_id", key.alias("key"), F.when(key == "Comment", F.substring("text", 1, 4)).otherwise(F.col("text")).alias("text"), F.length("text").cast("long").alias("size"))
+
+
+@query(f"{_KEYS} SELECT doc_id, CASE WHEN k % 5 <> 4 THEN 'tEXt,zTXt' END AS removed, CASE WHEN k % 5 <> 4 THEN 0 END AS kept, k % 5 = 4 AS failed FROM keys")
+def image_scrubbed(spark, sf_dir):
+    """Metadata blocks go, and reading the result finds none."""
+    done = settle(IMG.scrub(_files(spark, sf_dir, _png)))
+    left = IMG.parse(done.where("error is null").select("doc_id", "content")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    met = done.join(left, "doc_id", "left")
+    return met.select("doc_id", F.array_join("removed", ",").alias("removed"), F.when(F.col("error").isNull(), F.coalesce(F.col("n"), F.lit(0)).cast("int")).alias("kept"), F.col("error").isNotNull().alias("failed"))
+
+
+@query(f"""{_KEYS}, cells AS (SELECT doc_id, k, unnest(range(0, 64)) AS cell FROM keys)
+SELECT doc_id, sha256(string_agg(CASE WHEN cell % 8 BETWEEN 2 AND 5 AND cell // 8 BETWEEN 2 AND 5 THEN '000000FF' ELSE printf('%02X%02X%02X%02X', k % 251, cell, 7, 9) END, '' ORDER BY cell)) AS digest FROM cells GROUP BY doc_id""")
+def raster_redacted(spark, sf_dir):
+    """A padded rectangle of every 8 by 8 image is black."""
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(map(str, keys), pa.string()), pa.array([b"".join(bytes((k % 251, cell, 7, 9)) for cell in range(64)) for k in keys], pa.binary())], names=["doc_id", "pixels"])
+
+    images = _table(spark, sf_dir, "supplier").select("s_suppkey").mapInArrow(run, "doc_id string, pixels binary").select("doc_id", F.lit(8).alias("width"), F.lit(8).alias("height"), "pixels")
+    box = F.struct(*[F.lit(v).cast("double").alias(n) for n, v in (("x", 4), ("y", 4), ("width", 0), ("height", 0))])
+    ops = images.select("doc_id", F.lit("op").alias("op_id"), F.lit("blackout").alias("strategy"), box.alias("rect"))
+    return raster.redact_rasters(images, ops).select("doc_id", F.sha2(F.hex("pixels"), 256).alias("digest"))
 
 
 @query("""
@@ -527,34 +604,6 @@ def utf16_lengths(spark, sf_dir):
     return docs.select("doc_id", C.utf16_offset(F.col("text"), F.length("text")).cast("long").alias("utf16"))
 
 
-def _png(spark) -> DataFrame:
-    import struct
-    import zlib
-
-    chunk = lambda t, b: struct.pack(">I", len(b)) + t + b + struct.pack(">I", zlib.crc32(t + b))
-    raw = IMG.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)) + chunk(b"tEXt", b"Author\0Marta Feld") + chunk(b"IDAT", zlib.compress(bytes(4))) + chunk(b"IEND", b"")
-    return spark.createDataFrame([("png", bytearray(raw)), ("broken", bytearray(b"no image"))], "doc_id string, content binary")
-
-
-@query()
-def image_metadata(spark, sf_dir):
-    return IMG.parse(_png(spark)).select("doc_id", "node_id", "kind", "text")
-
-
-@query()
-def image_scrubbed(spark, sf_dir):
-    return IMG.scrub(_png(spark)).select("doc_id", F.length("content").alias("size"), F.array_join("removed", ",").alias("removed"), "bytes_removed", "error")
-
-
-@query()
-def raster_redacted(spark, sf_dir):
-    pixels = bytearray(bytes(range(256)) * 4)
-    images = spark.createDataFrame([("img", 16, 16, pixels)], "doc_id string, width int, height int, pixels binary")
-    rows = [("img", f"op{i}", s, {"x": 4.0, "y": 4.0, "width": 4.0, "height": 4.0}) for i, s in enumerate(("scramble", "hatch", "noise-mosaic", "blackout"))]
-    ops = spark.createDataFrame(rows, f"doc_id string, op_id string, strategy string, rect {T.BBOX}")
-    return raster.redact_rasters(images, ops).select("doc_id", F.sha2("pixels", 256).alias("digest"), "error")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's banner under the privacy policy, with what was found in it."""
     a = pipeline.analyze(_docs(spark, sf_dir), PRIVACY)
