@@ -79,3 +79,29 @@ def test_rectangles(spark):
     ).first()
     assert (row.hit, row.edge, tuple(row.both), tuple(row.either)) == (True, False, (2, 3, 2, 1), (0, 0, 6, 7))
     assert (tuple(row.snap), row.area, tuple(row.clamp)) == ((0, 0, 2, 2), 36, (0, 0, 4, 2)) and row.gps == pytest.approx(-51.508333, abs=1e-6)
+
+
+def test_unlisted_countries_and_unicode_spaces(spark):
+    def iban(country, body):
+        rest = int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        return f"{country}{98 - rest:02d}{body}"
+
+    values = [iban("DZ", "1234567890"), iban("DZ", "123456789"), iban("DZ", "A" * 30), iban("DZ", "A" * 31), iban("DE", "1234567890"), iban("DE", "1" * 18), iban("DE", "1" * 18).replace("1", "2", 1)]
+    values += [" ".join(iban("DE", "1" * 18)[i : i + 4] for i in range(0, 22, 4)).replace(" ", gap) for gap in "\u00a0\u2009\u3000\u2028\ufeff\u2011-."]
+    want = [True, False, True, False, False, True, False] + [True] * 8
+    assert [checks.iban(v) for v in values] == want
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    assert [r.ok for r in rows.select("i", columns.iban(F.col("v")).alias("ok")).orderBy("i").collect()] == want
+    cards = [f"4111{gap}1111{gap}1111{gap}1111" for gap in "\u00a0\u202f\u1680\x1c\x85"]
+    both = spark.createDataFrame([(v,) for v in cards], "v string").select("v", columns.luhn(F.col("v")).alias("ok")).collect()
+    assert [r.ok for r in both] == [checks.luhn(r.v) for r in both] == [True, True, True, False, False]
+
+
+def test_boxes_of_spans(spark):
+    glyph = "struct<x:double,y:double,width:double,height:double>"
+    rows = [(1, [(0.0, 0.0, 5.0, 9.0), (5.0, 1.0, 4.0, 7.0), (9.0, 0.0, 2.0, 9.0)], (0.0, 0.0, 50.0, 9.0), 1, 3), (2, None, (1.0, 2.0, 3.0, 4.0), 0, 2), (3, [], (1.0, 2.0, 3.0, 4.0), 0, 1)]
+    df = spark.createDataFrame(rows, f"i int, glyphs array<{glyph}>, bbox {glyph}, s int, e int")
+    got = {r.i: tuple(r.b) for r in df.select("i", columns.rect_for(F.col("glyphs"), F.col("bbox"), F.col("s"), F.col("e")).alias("b")).collect()}
+    assert got == {1: (5.0, 0.0, 6.0, 9.0), 2: (1.0, 2.0, 3.0, 4.0), 3: (1.0, 2.0, 3.0, 4.0)}
+    one = df.limit(1).select(columns.rect_from_points(F.lit(5.0), F.lit(1.0), F.lit(2.0), F.lit(4.0)).alias("r"), columns.text_at(F.lit("abcdef"), F.lit(2), F.lit(4)).alias("t")).select("r.*", columns.rect_right(F.col("r")).alias("right"), columns.rect_bottom(F.col("r")).alias("bottom"), "t").first()
+    assert tuple(one) == (2.0, 1.0, 3.0, 3.0, 5.0, 4.0, "cd")

@@ -132,3 +132,18 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     batch = queries.D.patterns(queries.T.paragraphs(docs))
     pick = lambda df: sorted(map(tuple, df.select("doc_id", "id", "value").collect()))
     assert pick(live) == pick(batch) and live.count() > 5
+
+
+def test_long_texts_and_crafted_files(spark):
+    long = b"x" * (3 << 20)
+    png = image.PNG + chunk(b"zTXt", b"Comment\0\0" + zlib.compress(long)) + chunk(b"iTXt", b"Title\0\1\0en\0t\0" + zlib.compress(long)) + chunk(b"IEND", b"")
+    assert [(k, len(v)) for k, v in image.metadata_fields(png)] == [("Comment", len(long)), ("Title", len(long))]
+    # A GPS position of the text type, by a damaged writer.
+    gps = struct.pack("<HHHII", 2, 2, 2, 4, 0x00003135) + struct.pack("<HHII", 4, 2, 4, 0x00003135) + struct.pack("<I", 0)
+    tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<HHHII", 1, 0x8825, 4, 1, 26) + struct.pack("<I", 0) + gps
+    broken = image.PNG + chunk(b"eXIf", tiff) + chunk(b"IEND", b"")
+    bomb = image.PNG + chunk(b"zTXt", b"Comment\0\0" + zlib.compress(bytes(65 << 20))) + chunk(b"IEND", b"")
+    files = spark.createDataFrame([("gps", bytearray(broken)), ("bomb", bytearray(bomb)), ("fine", bytearray(png))], "doc_id string, content binary")
+    found = image.parse(files).collect()
+    assert {r.doc_id for r in found if r.kind == "container"} == {"bomb"} and sum(r.doc_id == "fine" for r in found) == 2
+    assert not [r for r in found if r.doc_id == "gps" and r.kind == "metadata"]

@@ -20,6 +20,16 @@ def test_entry_without_the_operators(tmp_path):
     assert ran.stdout.strip() == "fine", ran.stderr
 
 
+def test_the_suite_collects_without_the_operators(tmp_path):
+    for name in ("redoubt", "tests"):
+        shutil.copytree(os.path.join(ROOT, name), tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    ran = subprocess.run([sys.executable, "-B", "-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider"], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert ran.returncode == 0 and "test_engine.py" in ran.stdout, ran.stdout + ran.stderr
+    ran = subprocess.run([sys.executable, "-B", "-m", "pytest", "tests/test_checks.py", "-q", "-p", "no:cacheprovider"], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert ran.returncode == 0, ran.stdout + ran.stderr
+
+
 def test_nothing_else_imports_the_operators():
     for folder, _, names in os.walk(os.path.join(ROOT, "redoubt")):
         if os.path.basename(folder) != "llm":
