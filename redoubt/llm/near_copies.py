@@ -7,8 +7,12 @@ keys, a key is a table, and texts that agree on a table's key share a bucket.
 Bits of two texts at 0.8 differ with a chance of ``DIFFER`` or less, so the
 number of tables follows from ``MISSED``, the chance that such a pair shares
 none.  Buckets are compared in vertical bit planes as in ``simhash``; a second
-fingerprint sorts out nearly all pairs that only chance brought together.  Every
-pair that is left is checked on the two texts.
+fingerprint sorts out nearly all pairs that only chance brought together.  A
+bitmap holds the parity of the shingles that hash to each of its bits; two
+texts differ in at least as many shingles as their bitmaps do in bits, so pairs
+that can't be alike go without a look at them, among them nearly all of those in
+a large group of copies that are all a little too unlike each other.  Every pair
+that is left is checked on the two texts.
 
 Texts with the same shingles are one node, so copies never meet.  A first round
 checks a spanning forest of each bucket's candidates, which joins large groups
@@ -16,7 +20,8 @@ without their pairs; the second one checks every candidate pair that the first
 left in different components.
 
 Definitions: null and empty texts have no shingles and are copies of each
-other.  ``doc_id`` counts as in ``simhash``.
+other.  ``doc_id`` counts as in ``simhash``.  Rows that repeat a text are copies, an
+empty table has no components, and ``dedup`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -54,6 +59,28 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both * ALIKE[1] >= (len(a) + len(b) - both) * ALIKE[0]
 
 
+BITS, MOST_SIZE = 240, 0xFFFF  # of a bitmap; and the number of shingles from which on it says nothing
+WORDS = ("b0", "b1", "b2", "b3")  # a bitmap, with the set's size in the last 16 bits
+
+
+def bitmap(own: np.ndarray) -> list[int]:
+    """The parities of a set's shingles, and its size, in words of 64 bits."""
+    at = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(BITS)
+    odd = np.flatnonzero(np.bincount(at.astype(np.int64), minlength=BITS) & 1).tolist()
+    bits = sum(1 << b for b in odd) | min(len(own), MOST_SIZE) << BITS
+    return [bits >> 64 * i & (1 << 64) - 1 for i in range(4)]
+
+
+def may_be_alike(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """False where the bitmaps of two sets, word by word, show that they differ too much."""
+    a, b = (w[3] >> np.uint64(48) for w in (x, y))
+    last = (x[3] ^ y[3]) & np.uint64((1 << 48) - 1)
+    differ = sum(np.bitwise_count(w).astype(int) for w in (*(x[i] ^ y[i] for i in range(3)), last))
+    both = a.astype(int) + b.astype(int)
+    # |A| + |B| is twice what they share and what differs, and shared / (shared + differing) must reach the ratio.
+    return ((both - differ) * ALIKE[1] >= (both + differ) * ALIKE[0]) | (a == MOST_SIZE) | (b == MOST_SIZE)
+
+
 def _marks(words: int, takes: int):
     def run(batches):
         for batch in batches:
@@ -61,8 +88,8 @@ def _marks(words: int, takes: int):
             for text in batch.column(2).to_pylist():
                 own = shingles(text, words)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 1))
-                found.append([simhash.fingerprint(None, take=i, hashes=own) for i in range(takes)])
-            fps = np.array(found, dtype=np.uint64).reshape(-1, takes).view(np.int64)
+                found.append([*(simhash.fingerprint(None, take=i, hashes=own) for i in range(takes)), *bitmap(own)])
+            fps = np.array(found, dtype=np.uint64).reshape(-1, takes + 4).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(fps.tolist(), pa.list_(pa.int64()))], names=["doc_id", "of_text", "node", "fps"]
             )
@@ -71,12 +98,13 @@ def _marks(words: int, takes: int):
 
 
 def _met(cols: list[np.ndarray], forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of nodes in whole buckets of (table, key, part, fp, second, node, root) in different components."""
+    """Candidate pairs of nodes in whole buckets of (table, key, part, fp, second, four words of a bitmap, node, root) in different components."""
     key = np.stack(cols[:3], axis=1)
     new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
     alone = new & np.concatenate([new[1:], [True]])
-    fps, second, nodes, roots = (c[~alone] for c in cols[3:])
-    fps, second, starts = fps.view(np.uint64), second.view(np.uint64), np.flatnonzero(new[~alone])
+    fps, second, *maps, nodes, roots = (c[~alone] for c in cols[3:])
+    fps, second, *maps = (c.view(np.uint64) for c in (fps, second, *maps))
+    starts = np.flatnonzero(new[~alone])
     left, right = [nodes[:0]], [nodes[:0]]
     for first, rows, blocks, lanes, _ in simhash.near_lanes(fps, starts, NEAR) if len(fps) else ():
         above: dict[int, int] = {}
@@ -85,7 +113,7 @@ def _met(cols: list[np.ndarray], forest: bool) -> tuple[np.ndarray, np.ndarray]:
             which, lane = np.nonzero(bits)
             u, v = first + rows[at + which], first + blocks[at + which] * 64 + lane
             far = np.bitwise_count(fps[u] ^ fps[v]).astype(int) + np.bitwise_count(second[u] ^ second[v])
-            fit = (u < v) & (far <= NEAR_BOTH) & (roots[u] != roots[v])
+            fit = (u < v) & (far <= NEAR_BOTH) & (roots[u] != roots[v]) & may_be_alike([m[u] for m in maps], [m[v] for m in maps])
             u, v = u[fit], v[fit]
             if forest and len(u):
                 u, v = _spanning(u, v, above)
@@ -119,7 +147,7 @@ def _candidates(forest: bool):
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
 
     def run(batches):
-        for cols in simhash.whole_buckets(batches, 7):
+        for cols in simhash.whole_buckets(batches, 11):
             yield pairs_of(cols)
 
     return run
@@ -131,8 +159,8 @@ def candidates(marks: DataFrame, roots: DataFrame | None, bits: int, tables: int
     per = 64 // bits
     entry = [F.struct(F.lit(i).alias("tab"), F.shiftrightunsigned(F.col("fps")[i // per], i % per * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("key")) for i in range(tables)]
     own = marks if roots is None else marks.join(roots.withColumnRenamed("root", "known"), "node", "left")
-    rows = own.select(F.explode(F.array(*entry)).alias("e"), F.col("fps")[0].alias("fp"), F.col("fps")[1].alias("second"), "node", (F.col("node") if roots is None else F.coalesce("known", "node")).alias("root"))
-    dealt = simhash.deal(rows.select("e.tab", "e.key", "fp", "second", "node", "root"), most, "node", "node")  # in their order forests of many tables share links
+    rows = own.select(F.explode(F.array(*entry)).alias("e"), F.col("fps")[0].alias("fp"), F.col("fps")[1].alias("second"), *[F.element_at("fps", i - 4).alias(w) for i, w in enumerate(WORDS)], "node", (F.col("node") if roots is None else F.coalesce("known", "node")).alias("root"))
+    dealt = simhash.deal(rows.select("e.tab", "e.key", "fp", "second", *WORDS, "node", "root"), most, "node", "node")  # in their order forests of many tables share links
     return dealt.mapInArrow(_candidates(roots is None), "u long, v long").distinct()
 
 

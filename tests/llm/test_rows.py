@@ -286,6 +286,25 @@ def test_near_copies_link_at_the_threshold_and_not_below(spark):
     assert near_copies.dedup(docs(spark, []), 5).count() == 0
 
 
+def test_bitmaps_never_part_alike_sets():
+    from redoubt.llm import near_copies
+
+    some = np.random.default_rng(4)
+    parted = total = 0
+    for n in (0, 1, 3, 9, 60, 150, 400):
+        for _ in range(400):
+            a = np.unique(some.integers(0, 1 << 64, n, dtype=np.uint64))
+            k = int(some.integers(0, n // 4 + 1))
+            b = np.unique(np.concatenate([a[k:], some.integers(0, 1 << 64, int(some.integers(0, k + 1)), dtype=np.uint64)]))
+            marks = [[np.array([x], dtype=np.uint64) for x in near_copies.bitmap(s)] for s in (a, b)]
+            fits = bool(near_copies.may_be_alike(*marks)[0])
+            assert fits or not near_copies.alike(a, b)
+            if len(a) == 150 and not near_copies.alike(a, b):
+                total, parted = total + 1, parted + (not fits)
+    assert total > 50 and parted > total / 2
+    assert near_copies.bitmap(np.arange(70_000, dtype=np.uint64))[3] >> 48 == near_copies.MOST_SIZE
+
+
 def test_candidates_of_cut_buckets(spark):
     from redoubt.llm import near_copies
 
@@ -295,7 +314,7 @@ def test_candidates_of_cut_buckets(spark):
         centre = [some.getrandbits(64) for _ in range(3)]
         for i in range(120):
             near = [f ^ sum({1 << some.randrange(64) for _ in range(3)}) for f in centre]
-            rows.append((g * 1000 + i, [f - (1 << 64) if f >> 63 else f for f in near]))
+            rows.append((g * 1000 + i, [f - (1 << 64) if f >> 63 else f for f in near] + [0, 0, 0, -1]))  # too many shingles for a bitmap
     marks = spark.createDataFrame(rows, "node long, fps array<long>")
     none = spark.createDataFrame([], "node long, root long")
     want = {(g * 1000 + i, g * 1000 + j) for g in range(3) for i in range(120) for j in range(i + 1, 120)}
