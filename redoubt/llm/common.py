@@ -13,6 +13,8 @@ __all__ = ["BLANKS", "checkpoint", "connected_components", "dealt_anew", "partit
 #: White space of the operator contracts, as bytes: space and U+0009 to U+000D.
 BLANKS = b" \t\n\x0b\x0c\r"
 
+EDGES = 1 << 14  # edges to a file between the rounds of ``connected_components``
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,7 +38,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     larger (then its smaller) neighbours at the smallest one.  Each step is a
     minimum per node joined back to the edges, so no neighbour list is ever
     gathered in one task and a hub's edges may be split by the skew join.
-    Edges are written to the shared folder after every round.
+    Edges are written to the shared folder after every round, in as many files
+    as their counted number needs: few edges in many files cost more than the step.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -61,7 +64,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not mark[0]:
             break
-        now = checkpoint(star(star(now, True), False))
+        now = checkpoint(star(star(now, True), False).coalesce(-(-mark[0] // EDGES)))
         mark, before = seal(now), mark
         if mark == before:
             break
