@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from redoubt.errors import RedactionError
@@ -52,6 +53,17 @@ def test_png_metadata():
     assert image.read_exif(b"II*\0\xff\xff\xff\xff") == {}
 
 
+def test_metadata_batches_are_bounded_by_their_text():
+    size = 1 << 20
+    files = [png(chunk(b"zTXt", b"Note\0\0" + zlib.compress(bytes([97 + i % 26]) * size))) if i % 5 else b"none" for i in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(30)]), pa.array(files, pa.binary())], names=["doc_id", "content"])
+    out = list(image.metadata_batches([batch]))
+    assert max(sum(len(t or "") for t in b.column("text").to_pylist()) for b in out) < image.BATCH_TEXT + size
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [str(i) for i in range(30)]
+    assert all(r["text"] == (chr(97 + i % 26) * size if i % 5 else None) for i, r in enumerate(rows))
+
+
 def test_pixels():
     pixels = np.random.default_rng(1).integers(0, 256, 32 * 32 * 4, dtype=np.uint8).tobytes()
     rect = {"x": 8.5, "y": 8.5, "width": 8, "height": 8}
