@@ -34,6 +34,7 @@ manifest and no rows.  Columns but ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import struct
@@ -53,6 +54,7 @@ END_ID = 2
 SHARD_IDS = 8 << 20  # a shard is closed at the first document that reaches this many ids
 SHARD_DOCS = 1 << 18  # or this many documents
 CACHED_PIECES = 1_000_000  # in each of the two generations of a worker's table, of some 40 bytes each
+TRIM_SLICES = 16  # of 256 texts, after which a worker returns freed memory
 _MAGIC = b"RDMPH2\x00\x00"
 _HEAD = struct.Struct("<8sIIIIIIQ")  # magic, id bytes, buckets, slots, records, records without key, unused, ids
 _SLOT = np.dtype([("print", "<u4"), ("records", "<u4"), ("first", "<u4"), ("unused", "<u4"), ("offset", "<u8")])
@@ -451,13 +453,22 @@ def read_index(folder: str, name: str, whole: bool = False) -> Index:
     return Index(lambda at, size: raw[at : at + size])
 
 
+def give_back() -> None:
+    """Return the freed memory of this process to the system; the allocators keep that of short-lived arrays and Arrow batches."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def _writer(path: str, folder: str, end_id: int, shard_ids: int, shard_docs: int):
     def run(batches):
         from pyspark import TaskContext
 
         coder = encoder(path, end_id)
         width = coder.dtype.itemsize
-        keys, lengths, chunks, size, shard = [], [], [], 0, 0
+        keys, lengths, chunks, size, shard, slices = [], [], [], 0, 0, 0
 
         def close():
             part = TaskContext.get().partitionId()
@@ -473,6 +484,9 @@ def _writer(path: str, folder: str, end_id: int, shard_ids: int, shard_docs: int
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
+                slices += 1
+                if slices % TRIM_SLICES == 0:
+                    give_back()
                 for key, raw in zip(some.column(0).to_pylist(), coder.encode([t or "" for t in some.column(1).to_pylist()])):
                     keys.append(key)
                     lengths.append(len(raw) // width)
@@ -483,6 +497,8 @@ def _writer(path: str, folder: str, end_id: int, shard_ids: int, shard_docs: int
                         keys, lengths, chunks, size, shard = [], [], [], 0, shard + 1
         if keys:
             yield close()
+        keys, lengths, chunks = [], [], []
+        give_back()
 
     return run
 

@@ -186,6 +186,20 @@ def test_more_takes_link_worse_copies(spark):
 SPACING = ["a  b", " lead", "trail ", "x\n\ny z", "tab\t tab", "nb sp  x", "<|endoftext|> stop <|endoftext|>", "it's John's  'quoted'", "\x00 nul \x00x", "12 345,67 \n 8", "日本語 テキスト", "a 　 b", "é   x", "\x1c a\x1cb \x85 c"]
 
 
+def test_the_token_writer_gives_memory_back(monkeypatch, tmp_path):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    given = []
+    monkeypatch.setattr(token_shards, "give_back", lambda: given.append(1))
+    monkeypatch.setattr(token_shards, "TRIM_SLICES", 2)
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    n = 256 * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([f"text {i}" for i in range(n)])], names=["doc_id", "text"])
+    made = list(token_shards._writer(token_shards.tokenizer_path(), str(tmp_path), 2, 1 << 20, 1 << 20)([batch]))
+    assert len(given) == 3 and [b.column("n_docs").to_pylist() for b in made] == [[n]]  # each second slice, and at the end
+
+
 def test_token_shards(spark, tmp_path):
     from tokenizers import Tokenizer
 
